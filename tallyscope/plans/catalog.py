@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tallyscope.plans import scenes  # noqa: F401  registers its queries
+from tallyscope.plans.scores import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
