@@ -20,7 +20,11 @@ from tallyscope.llm.common import scratch_path, sized, staged, with_row_id
 #: The characters that don't count.
 SPACE = " \t\n\x0b\x0c\r"
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, which would outweigh the state where there are many partitions.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 NO_ID = 9223372036854775807
 
 
@@ -53,8 +57,9 @@ def stream_state(landing: DataFrame, path: str, checkpoint: str, out: str, files
     Each micro-batch appends the groups that it changed; the largest `group_size` of a digest is its newest row.
     """
     spark = landing.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(landing.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
         state = rows.groupBy("digest").agg(*_best())
@@ -65,10 +70,8 @@ def stream_state(landing: DataFrame, path: str, checkpoint: str, out: str, files
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changed = spark.read.schema(state.schema).parquet(f"{out}/batch=*")
     newest = changed.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s"))
     return newest.select("digest", "s.group_size", "s.best")
