@@ -118,7 +118,7 @@ def softmax(logits: Column) -> Column:
 
 def shown(value: Column, places: int = 4) -> Column:
     """A number to some places, or n/a."""
-    return F.coalesce(F.format_string(f"%.{places}f", value), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string(f"%.{places}f", value))
 
 
 def checked(value: Column, ok: Column, message: str) -> Column:

@@ -15,11 +15,11 @@ def _guarded(rows: DataFrame, ok, message: str) -> DataFrame:
     return rows.join(F.broadcast(check), F.col("_ok").isNull()).drop("_ok")
 
 
-def csv(spark: SparkSession, path: str, schema) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header; a missing column or a malformed row fails the read."""
     head = spark.read.text(path).limit(1).first()
     columns = [c.strip() for c in head[0].split(",")] if head else []
-    missing = [f.name for f in schema if f.name not in columns]
+    missing = [name for name in (field.split()[0] for field in schema.split(",")) if name not in columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
     return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
