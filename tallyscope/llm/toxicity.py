@@ -16,7 +16,6 @@ margin is that of its worst word, turned into a probability by a logistic fit.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,6 +35,8 @@ THRESHOLD = 0.7
 #: Longest piece of a word that is scored at once; longer words are scored in overlapping pieces.
 PIECE = 24
 _CACHE_WORDS = 400_000
+#: Words handled together.
+CHUNK = 8192
 #: Size of the table in which weights are looked up.
 TABLE_BITS = 20
 
@@ -139,12 +140,16 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; words without a known subsequence have the bias."""
-        total = np.zeros(len(words))
-        for code, owner, weight in features(words):
-            value = self._weight(code)
-            hit = np.flatnonzero(value)
-            total += weight * np.bincount(owner[hit], value[hit], len(words))
-        return total / mass(words) + self.bias
+        out = np.full(len(words), self.bias)
+        for s in range(0, len(words), CHUNK):
+            part = words[s : s + CHUNK]
+            total = np.zeros(len(part))
+            for code, owner, weight in features(part):
+                value = self._weight(code)
+                hit = np.flatnonzero(value)
+                total += weight * np.bincount(owner[hit], value[hit], len(part))
+            out[s : s + len(part)] += total / mass(part)
+        return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -165,8 +170,8 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         start += len(code)
     z /= mass(landmarks)
     out = np.zeros((len(words), width))
-    for s in range(0, len(words), 4096):
-        part = words[s : s + 4096]
+    for s in range(0, len(words), 512):
+        part = words[s : s + 512]
         for code, owner, weight in features(part):
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             hit = np.flatnonzero(codes[at] == code)
@@ -181,11 +186,16 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     ridge = np.eye(x.shape[1])
     for _ in range(30):
         gap = 1 - y * (x @ w)
-        on = gap > 0
-        grad = w - 2 * x[on].T @ (cost[on] * y[on] * gap[on])
+        on = np.flatnonzero(gap > 0)
+        grad, curve = w.copy(), ridge.copy()
+        for s in range(0, len(on), 2048):
+            at = on[s : s + 2048]
+            part = x[at]
+            grad -= 2 * part.T @ (cost[at] * y[at] * gap[at])
+            curve += 2 * (part * cost[at, None]).T @ part
         if np.abs(grad).max() < 1e-6:
             break
-        step = np.linalg.solve(ridge + 2 * (x[on] * cost[on, None]).T @ x[on], grad)
+        step = np.linalg.solve(curve, grad)
         t = 1.0
         value = lambda v: 0.5 * v @ v + (cost * np.maximum(1 - y * (x @ v), 0) ** 2).sum()
         now = value(w)
@@ -197,7 +207,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 def _spread(words: list[str], count: int, rng: np.random.Generator) -> list[str]:
     """A varied choice: each next landmark is the word least like those chosen, among random ones."""
-    pool = [words[i] for i in rng.permutation(len(words))[: 12 * count]]
+    pool = [words[i] for i in rng.permutation(len(words))[: 4 * count]]
     if len(pool) <= count:
         return pool
     k = _kernel(pool, pool)
@@ -212,94 +222,91 @@ def _spread(words: list[str], count: int, rng: np.random.Generator) -> list[str]
     return [pool[i] for i in chosen]
 
 
-def _seeds(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
-    """Association of words with toxic texts: the best of their leading stems and of themselves, by texts that hold it."""
-
-    def stems(words: set[str]) -> set[str]:
-        return {w[:k] for w in words for k in (4, 5, 6, 7) if len(w) >= k} | {f"{w}\x03" for w in words}
-
-    bad, good = Counter(), Counter()
-    for words in toxic:
-        bad.update(stems(words))
-    for words in clean:
-        good.update(stems(words))
-    share = max(len(toxic), 1) / max(len(clean), 1)
-    odds = {s: n * np.log((n + 0.5) / (good[s] * share + 0.5)) for s, n in bad.items() if n >= 2 and n > 8 * share * good[s]}
-    out: dict[str, float] = {}
-    for words in toxic:
-        for w in words:
-            if w not in out:
-                got = [odds[s] for s in stems({w}) if s in odds]
-                if got:
-                    out[w] = max(got)
-    return out
+def _stems(words: list[str]) -> np.ndarray:
+    """Digests of each word's leading stems and of the whole word; short words repeat the last."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest
+    return np.array([[h(w[:k] if len(w) > k else w + "\x03") for k in (4, 5, 6, 7)] + [h(w + "\x03")] for w in words], np.uint64).reshape(len(words), 5)
+
+
+def _seeds(stems: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
+    """Association of each word with toxic texts: the best of its stems' log-odds, by the texts that hold them; 0 if none."""
+
+    def texts_with(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.unique(stems[b]) for b in bags]), return_counts=True)
+
+    (codes, bad), (others, good) = texts_with(toxic), texts_with(clean)
+    at = np.minimum(np.searchsorted(others, codes), len(others) - 1)
+    share = len(toxic) / len(clean)
+    scaled = np.where(others[at] == codes, good[at], 0) * share
+    odds = np.where((bad >= 2) & (bad > 8 * scaled), bad * np.log((bad + 0.5) / (scaled + 0.5)), 0.0)
+    place = np.minimum(np.searchsorted(codes, stems), len(codes) - 1)
+    return np.where(codes[place] == stems, odds[place], 0.0).max(axis=1)
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
-    """Train on labelled texts. With one class alone the model is constant."""
-    bags = [instances(t) for t in texts]
-    toxic = [b for b, y in zip(bags, labels, strict=True) if y and b]
-    clean = [b for b, y in zip(bags, labels, strict=True) if not y and b]
+    """Train on labelled texts. With one class alone the model is constant.
+
+    Texts become arrays of word numbers, so that memory follows the distinct words of the bounded sample.
+    """
+    number: dict[str, int] = {}
+    bags = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(instances(t))), np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
+    toxic = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
+    clean = [b for b, y in zip(bags, labels, strict=True) if not y and len(b)]
     if not toxic or not clean:
         return constant(0.9 if toxic else 0.05)
     rng = np.random.default_rng(11)
-    held = Counter(w for bag in clean for w in bag)
-    clean_words = sorted(held)
-    known = set(clean_words)
-    seeds = _seeds(toxic, clean)
-
-    def witnesses(rank: dict[str, float], floor: float) -> list[str]:
-        out = set()
+    held = np.bincount(np.concatenate(clean), minlength=len(vocabulary))
+    only_toxic = np.setdiff1d(np.concatenate(toxic), np.flatnonzero(held))
+    clean_at = np.flatnonzero(held)
+    pick = lambda at: [vocabulary[i] for i in at.tolist()]
+    sample = lambda at, n: np.sort(at[rng.permutation(len(at))[:n]])
+
+    def witnesses(rank: np.ndarray, near: float, floor: float) -> np.ndarray:
+        """Of each toxic text, the words that no clean text holds and that rank near its best one."""
+        out = []
         for bag in toxic:
-            new = [(rank[w], w) for w in bag if w in rank and w not in known]
-            if new:
-                best = max(new)[0]
-                out.update(w for s, w in new if s >= floor * best)
-        return sorted(out)
-
-    positive = witnesses(seeds, 0.5) or sorted(set().union(*toxic) - known)[:2000] or sorted(set().union(*toxic))[:2000]
-    sample = lambda words, n: [words[i] for i in sorted(rng.permutation(len(words))[:n])]
+            new = bag[held[bag] == 0]
+            if len(new) and (best := rank[new].max()) > 0:
+                out.append(new[rank[new] >= max(near * best, floor)] if floor <= best else new[[rank[new].argmax()]])
+        return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+
+    positive = witnesses(_seeds(_stems(vocabulary), toxic, clean), 0.5, 0.0)
+    if not len(positive):
+        positive = only_toxic if len(only_toxic) else np.unique(np.concatenate(toxic))
     positive = sample(positive, 4000)
-    negative = sample(clean_words, 12000)
-    toxic_words = sorted(set().union(*toxic) - known)
-    hard: list[str] = []
+    negative = sample(clean_at, 12000)
+    hard = np.empty(0, np.int64)
     model = None
     for turn in range(rounds):
-        landmarks = _spread(positive, LANDMARKS // 2, rng) + _spread(hard[:400] or negative, LANDMARKS - LANDMARKS // 2, rng)
+        landmarks = _spread(pick(positive), LANDMARKS // 2, rng) + _spread(pick(hard[:400] if len(hard) else negative), LANDMARKS - LANDMARKS // 2, rng)
         k = _kernel(landmarks, landmarks)
         value, vector = np.linalg.eigh((k + k.T) / 2)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        words = positive + negative + hard
-        x = np.hstack([_kernel(words, landmarks) @ root, np.ones((len(words), 1))])
-        y = np.array([1.0] * len(positive) + [-1.0] * (len(words) - len(positive)))
+        at = np.concatenate((positive, negative, hard))
+        x = np.hstack([_kernel(pick(at), landmarks) @ root, np.ones((len(at), 1))])
+        y = np.where(np.arange(len(at)) < len(positive), 1.0, -1.0)
         # a word counts as often as the clean texts that hold it, and hard ones in full
-        texts_of = np.array([min(held[w], 20) for w in words[len(positive) :]], float)
+        texts_of = np.minimum(held[at[len(positive) :]], 20).astype(float)
         texts_of[len(negative) :] *= 4
-        cost = np.concatenate((np.full(len(positive), 8000 / len(positive)), 32000 * texts_of / texts_of.sum()))
-        w = _svm(x, y, cost)
-        beta = root @ w[:-1]
+        w = _svm(x, y, np.concatenate((np.full(len(positive), 8000 / len(positive)), 32000 * texts_of / texts_of.sum())))
         codes, place = np.unique(np.concatenate([c for c, _, _ in features(landmarks)]), return_inverse=True)
-        table, start, scale = np.zeros(len(codes)), 0, beta / mass(landmarks)
+        table, start, scale = np.zeros(len(codes)), 0, root @ w[:-1] / mass(landmarks)
         for code, owner, weight in features(landmarks):
             np.add.at(table, place[start : start + len(code)], weight * scale[owner])
             start += len(code)
         model = Model(codes, table.astype(np.float32), float(w[-1]), 1.0, 0.0)
-        margin = model.margins(clean_words)
-        hard = [clean_words[i] for i in np.argsort(-margin)[:4000] if margin[i] > -0.7]
-        if turn + 1 < rounds and toxic_words:
-            rank = dict(zip(toxic_words, model.margins(toxic_words).tolist(), strict=True))
-            again = set()
-            for bag in toxic:
-                new = [(rank[w], w) for w in bag if w in rank]
-                if new:
-                    best = max(new)
-                    again.update(w for s, w in new if s > 0.5)
-                    again.add(best[1]) if best[0] > 0 else None
-            positive = sample(sorted(again), 4000) or positive
-    scores = {w: m for w, m in zip(clean_words, model.margins(clean_words).tolist(), strict=True)}
-    scores |= dict(zip(toxic_words, model.margins(toxic_words).tolist(), strict=True)) if toxic_words else {}
-    worst = np.array([max(scores[w] for w in b) for b in [*toxic, *clean]])
+        margin = model.margins(vocabulary)
+        order = clean_at[np.argsort(-margin[clean_at], kind="stable")[:4000]]
+        hard = order[margin[order] > -0.7]
+        if turn + 1 < rounds:
+            again = witnesses(margin, 0.0, 0.5)
+            positive = sample(again, 4000) if len(again) else positive
+    worst = np.array([margin[b].max() for b in [*toxic, *clean]])
     truth = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     model.slope, model.shift = _logistic(worst, truth)
     return model
@@ -354,9 +361,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cache = {}
                 new = set().union(*bags)
             words = list(new)
-            for s in range(0, len(words), 16384):
-                part = words[s : s + 16384]
-                cache.update(zip(part, own.margins(part).tolist(), strict=True))
+            cache.update(zip(words, own.margins(words).tolist(), strict=True))
             worst = np.array([max((cache[w] for w in bag), default=least) for bag in bags])
             p = own.probability(worst)
             columns = [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())]
