@@ -120,3 +120,10 @@ def temporal_events(peaks: DataFrame, alarms: DataFrame) -> DataFrame:
 def clip_state(spine: DataFrame, decided: DataFrame) -> DataFrame:
     """Undetermined without windows, else Fight or NonFight."""
     return spine.select("clip").distinct().join(decided, "clip", "left").select("clip", F.when(F.col("fired").isNull(), "Undetermined").when(F.col("fired"), "Fight").otherwise("NonFight").alias("state"))
+
+
+def fire_fraction(events: DataFrame, spine: DataFrame) -> DataFrame:
+    """Of each clip and event type: distinct frames in which it fired, over the clip's frames, at least one."""
+    frames = spine.groupBy("clip").agg(F.count(F.lit(1)).alias("frames"))
+    fired = events.groupBy("clip", "event_type").agg(F.count_distinct("frame").alias("fired"))
+    return fired.join(frames, "clip", "left").select("clip", "event_type", "fired", (F.col("fired") / F.greatest(F.coalesce("frames", F.lit(0)), F.lit(1))).alias("fraction"))

@@ -88,3 +88,19 @@ def id_persistence(tracks: DataFrame) -> DataFrame:
     """Of each clip: distinct ids, and whether any was seen twice."""
     seen = tracks.groupBy("clip", "track_id").agg(F.count_distinct("frame").alias("n"))
     return seen.groupBy("clip").agg(F.count(F.lit(1)).alias("ids"), F.bool_or(F.col("n") >= 2).alias("persistent"))
+
+
+def top_detection(detections: DataFrame, class_id: int) -> DataFrame:
+    """The most confident detection of a class in each frame, ties to the first; a frame without one fails the query (H9)."""
+    best = F.max_by(F.struct("det_idx", "conf", *G.BOX), F.when(F.col("class_id") == class_id, F.struct("conf", -F.col("det_idx"))))
+    rows = detections.groupBy("clip", "frame").agg(best.alias("b"), F.count_if(F.col("class_id") == class_id).alias("_n"))
+    found = F.when(F.col("_n") > 0, F.col("b")).otherwise(F.raise_error(F.lit(f"a frame without class {class_id}")))
+    return rows.withColumn("b", found).select("clip", "frame", "b.*")
+
+
+def nearest(detections: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each frame's target point (`clip`, `frame`, `x`, `y`) the detection of the nearest centre, ties to the first."""
+    cx, cy = G.centre(G.box())
+    far = (cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y"))
+    rows = detections.join(targets, ["clip", "frame"])
+    return rows.groupBy("clip", "frame").agg(F.min_by("det_idx", F.struct(far.alias("d"), "det_idx")).alias("det_idx"))

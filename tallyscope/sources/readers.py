@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,23 @@ from tallyscope.functions import paths as P
 from tallyscope.sources import schemas
 
 
+@dataclass(frozen=True)
+class ScoreSource:
+    """Where window scores come from (N4): `replay` of recorded ones or `live` ones of a model. A clip that a source doesn't
+    hold has no windows; nothing falls back to the other kind."""
+
+    kind: str
+    scores: DataFrame
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("replay", "live"):
+            raise ValueError(f"unknown kind of source {self.kind}")
+
+    def windows(self, clips: DataFrame) -> DataFrame:
+        """The scores of some clips, marked with their kind."""
+        return self.scores.join(clips.select("clip").distinct(), "clip", "left_semi").withColumn("source_kind", F.lit(self.kind))
+
+
 def _guarded(rows: DataFrame, ok, message: str) -> DataFrame:
     """The rows, or an error at run time if an aggregate condition over them fails; one row of checks is joined in."""
     check = rows.agg(F.assert_true(F.coalesce(ok, F.lit(False)), message).alias("_ok"))

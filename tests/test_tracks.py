@@ -152,3 +152,16 @@ def test_retained_tracks_are_filtered(spark):
     rows = pd.DataFrame({"frame": [0, 1], "det_idx": [0, 0], "class_id": [0, 0], "conf": [1.0, 1.0], "x1": [0.0, np.nan], "y1": [0.0, np.nan], "x2": [5.0, np.nan], "y2": [5.0, np.nan]})
     assert len(tracking.run_frames(tracking.State(), 0, rows, 0.3, 30, True)) == 1
     assert len(tracking.run_frames(tracking.State(), 0, rows, 0.3, 30, False)) == 2
+
+
+def test_top_nearest_and_fraction(spark):
+    schema = "clip bigint, frame bigint, det_idx bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
+    rows = [(0, 0, 0, 0, 0.5, 0.0, 0.0, 2.0, 2.0), (0, 0, 1, 0, 0.9, 8.0, 0.0, 10.0, 2.0), (0, 0, 2, 2, 1.0, 0.0, 0.0, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, schema)
+    assert T.top_detection(df, 0).first().det_idx == 1
+    with pytest.raises(Exception, match="without class"):
+        T.top_detection(df, 7).collect()
+    point = spark.createDataFrame([(0, 0, 5.0, 1.0)], "clip bigint, frame bigint, x double, y double")
+    assert T.nearest(df, point).first().det_idx == 2
+    events = spark.createDataFrame([(0, 1, "a"), (0, 1, "a"), (0, 2, "a")], "clip bigint, frame bigint, event_type string")
+    assert rules.fire_fraction(events, spine_of(spark, 8)).first().fraction == 0.25
