@@ -20,18 +20,23 @@ def aligned(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
 def by_ordinal(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
     """Join two tables by their places in explicit orders (D4): `a` and `b` as structs beside `ordinal`.
 
-    Places come from a range-partitioned sort, so no task holds a whole table.
+    Rows are dealt into ranges of the first order column, whose bounds are a small sample drawn by digest; places within a
+    range and the sizes of the ranges before it give the ordinal, so no task holds a whole table and a repeated task
+    gives the same places.
     """
     return _numbered(a, order_a, "a").join(_numbered(b, order_b, "b"), "ordinal", "full_outer")
 
 
-def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    placed = rows.select(F.struct(*rows.columns).alias(name)).repartitionByRange(*[F.col(f"{name}.{c}") for c in order]).sortWithinPartitions(*[f"{name}.{c}" for c in order])
-    ided = placed.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = ided.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return ided.withColumn("_p", part).join(F.broadcast(starts), "_p").select((F.col("_start") + F.col("_id") - F.shiftleft("_p", 33)).alias("ordinal"), name)
+def _numbered(rows: DataFrame, order: list[str], name: str, ranges: int = 256) -> DataFrame:
+    first = F.col(order[0])
+    bounds = sorted({r[0] for r in rows.filter(first.isNotNull()).select(first).orderBy(F.xxhash64(first)).limit(ranges).collect()})
+    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < first)) if bounds else F.lit(0)
+    placed = rows.select(F.struct(*rows.columns).alias(name), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.coalesce(F.when(first.isNotNull(), below), F.lit(-1)).alias("_range"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*[f"_o{k}" for k in range(len(order))]))
+    return placed.withColumn("_place", place).join(F.broadcast(starts), "_range").select((F.col("_start") + F.col("_place") - 1).alias("ordinal"), name)
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
