@@ -49,7 +49,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that no later read needs."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -63,6 +72,17 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def whole(df: DataFrame, name: str = "_row") -> Column:
+    """All columns of a table as one struct, so that an operator's own names never clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a table scan whose number isn't in `dropped` (`_rid`), with all their columns."""
+    kept = with_row_id(df.select(whole(df))).join(sized(dropped), "_rid", "left_anti")
+    return kept.select("_row.*")
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows of a table scan.
 
@@ -77,6 +97,24 @@ def crc32_of_id(doc_id: Column) -> Column:
 
 
 def rows_of(batches: Iterator, column: str) -> Iterator:
-    """Pairs of an Arrow batch and the Python list of one of its columns."""
+    """Pairs of an Arrow batch and the Python list of one of its columns.
+
+    At the end the worker, which Spark keeps for later tasks, gives what it no longer needs back to the system.
+    """
     for batch in batches:
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Return freed memory of this Python worker to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

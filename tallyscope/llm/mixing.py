@@ -16,7 +16,7 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import sized, staged, with_row_id
+from tallyscope.llm.common import sized, staged, whole, with_row_id
 
 #: Weights of the sources in order, repeating, and the epochs that none may exceed.
 WEIGHTS = (5, 2, 1)
@@ -46,8 +46,8 @@ def sampling_key(doc_id: Column, weight: Column, seed: str) -> Column:
 
 
 def _keyed(docs: DataFrame, labels: DataFrame | None, seed: str) -> DataFrame:
-    """The documents with `_rid`, `_size` and `_key` beside their own columns."""
-    rows = with_row_id(docs)
+    """`_rid`, `doc_id`, `source`, `_size`, `_key` of the documents, and `_row`, all their columns."""
+    rows = with_row_id(docs.select("doc_id", "source", "text", whole(docs)))
     if labels is None:
         quality = F.lit(None).cast("int")
     else:
@@ -55,7 +55,7 @@ def _keyed(docs: DataFrame, labels: DataFrame | None, seed: str) -> DataFrame:
         rows = rows.join(sized(by_doc), F.col("doc_id") == F.col("_labelled"), "left")
         quality = F.col("_quality")
     out = rows.withColumn("_size", words(F.col("text"))).withColumn("_key", sampling_key(F.col("doc_id"), quality_weight(quality), seed))
-    return out.drop("_labelled", "_quality")
+    return out.drop("_labelled", "_quality", "text")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -147,5 +147,4 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = "mix", wei
     rows = _keyed(docs, labels, seed)
     keyed = staged(rows.select("_rid", "doc_id", "source", "_size", "_key"), "keyed")
     times = _times(rows, plan(keyed, weights, epochs)).filter("_times > 0")
-    copies = times.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy"))
-    return copies.drop("_copy")
+    return times.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select("_row.*")

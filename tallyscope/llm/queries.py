@@ -137,5 +137,45 @@ select doc_id, keep_id, cast(n as bigint) as group_size, doc_id = keep_id as kep
 """
 
 
+_OP6 = r"""
+with k as (select unnest(list_transform(range(128), lambda c: c)) as c), known as (select c from k where regexp_full_match(chr(c::int), '[A-Za-z0-9+/_=-]')),
+h as (select sha256(cast(i as varchar)) as d from (select unnest(range(4096)) as i)),
+r as (select d, to_base64(from_hex(d)) as b from h),
+g as (select list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda x: lower(x)) as w from benchmark),
+t as (
+  select unnest([upper(d), d, b, translate(b, '+/=', 'xyz'), translate(b, '+/=', '-_'), upper(translate(b, '+/=', '234'))]) as token, true as random from r
+  union all select unnest([array_to_string(w, '_'), array_to_string(w, '-'), array_to_string(w, '/'), array_to_string(w, ''),
+    array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), ''), upper(array_to_string(w, '_')),
+    array_to_string(list_transform(range(len(w)), lambda i: w[i + 1] || (i % 100)), '_'),
+    array_to_string(list_transform(range(len(w)), lambda i: '20' || lpad(cast(i % 30 as varchar), 2, '0') || '-' || lpad(cast(i % 12 + 1 as varchar), 2, '0')), '/')]), false from g
+), p as (select random, unnest(list_transform(range(1, length(token)), lambda i: token[i : i + 1])) as p from t where length(token) > 1
+), c as (select random, ascii(p[1]) as a, ascii(p[2]) as b, count(*) as n from p group by all
+), m as (select x.c as a, y.c as b, u.random, coalesce(c.n, 0) as n from known x, known y, (values (true), (false)) u(random) left join c on c.random = u.random and c.a = x.c and c.b = y.c
+), q as (select a, b, random, ln((n + 1) / (sum(n) over (partition by random, a) + (select count(*) from known))::double) as l from m
+), w as (select a, b, round(1000 * (max(case when random then l end) - max(case when not random then l end))) as w from q group by a, b
+), d as (select doc_id, coalesce(text, '') as x from documents
+), e as (
+  select doc_id, 0 as k, regexp_extract_all(x, $A$) as m, string_split_regex(x, $A$) as s, regexp_extract_all(x, $A$, 2) as v from d
+  union all select doc_id, 1, regexp_extract_all(x, 'AKIA[A-Z0-9]+'), string_split_regex(x, 'AKIA[A-Z0-9]+'), null from d
+  union all select doc_id, 2, regexp_extract_all(x, '[0-9a-f]{24,}'), string_split_regex(x, '[0-9a-f]{24,}'), null from d
+  union all select doc_id, 3, regexp_extract_all(x, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(x, '[A-Za-z0-9+/_=-]{20,}'), null from d
+), f as (select *, unnest(range(1, len(m) + 1)) as i from e where len(m) > 0
+), j as (select doc_id, k, m[i] as token, v[i] as value, coalesce(list_sum(list_transform(s[1 : i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda y: length(y))), 0) as b from f
+), o as (select doc_id, k, b::bigint as b, (b + length(token))::bigint as e, token from j where case k when 0 then length(value) >= 6 when 1 then length(token) >= 20 when 2 then true else regexp_matches(token, '[0-9]') and regexp_matches(token, '[A-Za-z]') end
+), l as (select doc_id, b, e, unnest(list_transform(range(1, length(token)), lambda i: token[i : i + 1])) as p from o where k = 3
+), z as (select doc_id, l.b as b, e from l left join w on w.a = ascii(l.p[1]) and w.b = ascii(l.p[2]) group by doc_id, l.b, e having sum(coalesce(w.w, 0)) >= 8000
+), y as (
+  select doc_id, k, b, e from o where k < 3
+  union all select doc_id, 3, b, e from z where not exists (select 1 from o where o.k < 3 and o.doc_id = z.doc_id and o.b < z.e and z.b < o.e)
+), a as (
+  select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+    string_agg(['assign', 'access', 'hex'][k + 1] || ':' || b || ':' || e, ',' order by b, k, e) filter (k < 3) as base,
+    string_agg(['assign', 'access', 'hex', 'markov'][k + 1] || ':' || b || ':' || e, ',' order by b, k, e) as spans from y group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a on a.doc_id = d.doc_id
+""".replace("$A$", "'" + secrets.ASSIGN.replace("'", "''") + "'")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _OP3, "op4_topk": _OP4, "op7_ngram_jaccard": _OP7, "op8_exact_dedup": _OP8}
+    return {"op6_secrets": _OP6, "op3_mixing": _OP3, "op4_topk": _OP4, "op7_ngram_jaccard": _OP7, "op8_exact_dedup": _OP8}

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.llm.common import whole
+
 #: Fixed patterns, with the least length of the match (of group 2 for the first).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -127,7 +129,7 @@ def find(docs: DataFrame, weights: list[int], least: int = RATIO) -> DataFrame:
     table = F.expr("cast(split('" + ",".join(map(str, weights)) + "', ',') as array<int>)")
     text = F.coalesce(F.col("text"), F.lit(""))
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = docs.withColumns({"_assign": every(ASSIGN), "_access": every(ACCESS), "_hex": every(HEX), "_run": every(RUN)})
+    found = docs.select("text", whole(docs)).withColumns({"_assign": every(ASSIGN), "_access": every(ACCESS), "_hex": every(HEX), "_run": every(RUN)})
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")
     found = found.withColumn("_value", F.when(F.size("_assign") > 0, values))
@@ -141,7 +143,8 @@ def find(docs: DataFrame, weights: list[int], least: int = RATIO) -> DataFrame:
     runs = _spans(text, RUN, F.col("_run"), 3, lambda m, i: mixed(m) & (ratio(m, table) >= least))
     spans = found.withColumns({"base": base, "_runs": runs})
     apart = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return spans.withColumn("added", apart).select(*[c for c in docs.columns if c not in ("base", "added")], "base", "added")
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("base", "added")]
+    return spans.withColumn("added", apart).select(*own, "base", "added")
 
 
 def report(docs: DataFrame, weights: list[int], least: int = RATIO) -> DataFrame:
