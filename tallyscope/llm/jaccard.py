@@ -7,9 +7,9 @@ sought only among sets that have a whole non-empty fragment in common (sets with
 compare their empty ones). Overlaps of the pairs found are counted fragment by fragment and summed per pair.
 
 Equal sets are one class from the start, and classes stand for their copies. Within a bucket of classes that share
-a fragment, each class is first compared with one of them (the smallest), which joins most of a group of near
-copies; only then are classes of different components in one bucket compared with each other, in blocks, by
-parity sketches whose distance never exceeds the true one. So no link is lost, and no group is spelled out as pairs.
+a fragment, each class is first compared with one of them (of the smallest of its buckets, the one that it shares most
+with), which joins most of a group of near copies; only then are classes of different components in one bucket compared
+with each other, in blocks, by parity sketches whose distance never exceeds the true one. So no link is lost, and no group is spelled out as pairs.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, rows_of, sized, staged, with_row_id
+from tallyscope.llm.common import bound_batches, discard, release_memory, rows_of, sized, staged, with_row_id, without
 from tallyscope.llm.components import components
 
 #: Ratio of the sizes that share a number of fragments.
 SIZE_STEP = 1.5
-#: Bits of a parity sketch.
-SKETCH_BITS = 1024
+#: Bits of the smallest parity sketch; others have the power of two from the size of their set on.
+SKETCH_BITS = 256
 #: Vertical fragments in which the overlaps of a pair are counted.
 PARTS = 8
 #: Fragment keys aimed at in one bucket task (16 bytes each).
@@ -88,9 +88,19 @@ def fragment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_sketch(s: np.ndarray) -> bytes:
-    """Parity of the hashes that fall on each bit; the bits in which two sketches differ never outnumber the differences."""
-    return np.packbits((np.bincount((s & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the hashes that fall on each bit, as longs; the bits in which two sketches differ never outnumber the differences.
+
+    The number of bits follows the size of the set, so that long texts don't fill theirs. A sketch folds to half its length
+    by exclusive or of its halves, so those of different lengths compare at the shorter one.
+    """
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch at a shorter length."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, longs), axis=0)
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -115,29 +125,30 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         for column in (d1, d2, sketch, keys):
                             column.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.binary())],
                 ["_rid", "doc_id", "n", "d1", "d2", "sketch", "keys"],
             )
 
     rows = with_row_id(docs.select("doc_id", "text")).select("_rid", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "_rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch binary, keys binary")
+    return rows.mapInArrow(run, "_rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, keys binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """`key`, `rep` of the buckets with more than one class.
+    """`key`, `rep` of the buckets with more than one class, from `rep`, `keys`.
 
-    Map tasks send the keys of their classes as packed arrays to a number of parts that follows their volume; a
-    part sorts its keys and returns those that occur more than once.
+    Map tasks send the keys of their classes as packed arrays to a number of parts that follows their volume; a part
+    sorts its keys and returns those that occur more than once. Within a part 32 bits tell keys apart: a part has about
+    TASK_KEYS, and two keys that are wrongly taken for one only cost a comparison.
     """
     volume = classes.agg(F.sum(F.length("keys"))).first()[0] or 0
-    parts = max(32, math.ceil(volume / 8 / TASK_KEYS))
+    parts = max(48, math.ceil(volume / 8 / TASK_KEYS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(keys: list[np.ndarray], reps: list[np.ndarray]) -> pa.RecordBatch:
             k, r = np.concatenate(keys), np.concatenate(reps)
-            part = ((k >> _U(16)) % _U(parts)).astype(np.int64)
+            part = ((k >> _U(32)) % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            k, r, part = k[order], r[order], part[order]
+            k, r, part = k[order].astype(np.uint32), r[order], part[order]
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = np.append(cut[1:], len(k))
             blobs = [k[i:j].tobytes() + r[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]
@@ -150,28 +161,29 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 keys.append(own)
                 reps.append(np.full(len(own), rep, np.int64))
                 held += len(own)
-                if held >= 2_000_000:
+                if held >= 1_000_000:
                     yield flush(keys, reps)
                     keys, reps, held = [], [], 0
         if held:
             yield flush(keys, reps)
 
     def meet(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
-        k = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 16) for b in blobs])
-        r = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in blobs])
+        blobs, part = table.column("blob").to_pylist(), table.column("part")[0].as_py()
+        k = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 12) for b in blobs])
+        r = np.concatenate([np.frombuffer(b, np.int64, len(b) // 12, len(b) // 3) for b in blobs])
         order = np.argsort(k, kind="stable")
         k, r = k[order], r[order]
         same = k[1:] == k[:-1]
         many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return pa.table({"key": k[many].view(np.int64), "rep": r[many]})
+        return pa.table({"key": k[many].astype(np.int64) + (part << 32), "rep": r[many]})
 
     packed = classes.select("rep", "keys").mapInArrow(pack, "part bigint, blob binary")
     return packed.groupBy("part").applyInArrow(meet, "key bigint, rep bigint")
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Adds `overlap` to pairs of classes (`a`, `b`), counted in vertical fragments and summed per pair."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Adds `overlap` to pairs of classes (`a`, `b`), counted in vertical fragments and summed per pair; and the staged
+    fragments of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches, "text"):
@@ -193,13 +205,16 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     a = parts.select(F.col("rep").alias("a"), "part", F.col("grams").alias("ga"))
     b = parts.select(F.col("rep").alias("b"), "part", F.col("grams").alias("gb"))
     partial = pairs.join(a, "a").join(b, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap")), parts
 
 
 def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
     """Those pairs (`a`, `b`, `na`, `nb`) whose similarity reaches the threshold."""
     o = F.col("overlap")
-    return staged(_overlaps(pairs, docs, n).filter(o * den >= (F.col("na") + F.col("nb") - o) * num).select("a", "b"), name)
+    counted, fragments = _overlaps(pairs, docs, n)
+    out = staged(counted.filter(o * den >= (F.col("na") + F.col("nb") - o) * num).select("a", "b"), name)
+    discard(fragments)
+    return out
 
 
 def _possible(num: int, den: int):
@@ -209,14 +224,11 @@ def _possible(num: int, den: int):
 
 
 def _distance():
-    """Bits in which the sketches `sa` and `sb` differ."""
-    return F.aggregate(F.zip_with(_longs("sa"), _longs("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-
-
-def _longs(sketch: str):
-    """A binary sketch as an array of longs."""
-    text = F.hex(sketch)
-    return F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 * 2 - 1)), lambda i: F.conv(F.substring(text, i * 8 + 1, 8), 16, 10).cast("bigint"))
+    """Bits in which the sketches `sa` and `sb` differ; sizes that may link differ by one doubling at most."""
+    short = F.least(F.size("sa"), F.size("sb"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    at = lambda c: F.when(F.size(c) > short, F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), xor)).otherwise(F.col(c))
+    return F.aggregate(F.zip_with(at("sa"), at("sb"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda acc, x: acc + x)
 
 
 def _residual_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
@@ -224,21 +236,24 @@ def _residual_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
     (`key`, `blocks`, `rep`, `comp`, `n`, `sketch`) of the buckets that hold several components."""
     rows = buckets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "rep", "comp", "n", "sketch"
+        "key", F.least("own", "other").cast("bigint").alias("i"), F.greatest("own", "other").cast("bigint").alias("j"), F.col("own").cast("bigint").alias("own"), "rep", "comp", "n", "sketch"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(k: int, own: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, i: int, j: int):
+        def block(own: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, i: int, j: int) -> None:
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for x in left:
-                to = right[right > x] if i == j else right
-                to = to[comp[to] != comp[x]]
-                to = to[np.minimum(n[to], n[x]) * den >= np.maximum(n[to], n[x]) * num]
-                if len(to):
-                    far = np.bitwise_count(sketch[to] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-                    for y in to[far * (den + num) <= (n[to] + n[x]) * (den - num)]:
-                        a, b = (x, y) if rep[x] < rep[y] else (y, x)
-                        found.add((int(rep[a]), int(rep[b]), int(n[a]), int(n[b])))
+            step = max(1, (1 << 18) // max(1, len(right) * sketch.shape[1]))
+            for s in range(0, len(left), step):
+                x, y = (v.ravel() for v in np.meshgrid(left[s : s + step], right, indexing="ij"))
+                ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+                if i == j:
+                    ok &= x < y
+                x, y = x[ok], y[ok]
+                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                near = far * (den + num) <= (n[x] + n[y]) * (den - num)
+                x, y = x[near], y[near]
+                a, b = np.where(rep[x] < rep[y], x, y), np.where(rep[x] < rep[y], y, x)
+                found.update(zip(rep[a].tolist(), rep[b].tolist(), n[a].tolist(), n[b].tolist(), strict=True))
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) or [[], [], [], []]
@@ -248,10 +263,13 @@ def _residual_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
         now, held = None, []
 
         def done() -> None:
-            t = pa.Table.from_batches(held).combine_chunks()
-            column = lambda name: t.column(name).to_numpy()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), -1)
-            block(now[0], column("own"), column("rep"), column("comp"), column("n"), sketch, now[1], now[2])
+            column = lambda k: np.concatenate([b.column(k).to_numpy() for b in held])
+            longs = min(int(b.column(7).value_lengths().to_numpy().min()) for b in held)
+            sketch = []
+            for b in held:
+                values, cuts = b.column(7).flatten().to_numpy(), np.concatenate(([0], np.cumsum(b.column(7).value_lengths().to_numpy())))
+                sketch += [folded(values[s:e], longs) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            block(column(3), column(4), column(5), column(6), np.array(sketch).view(np.uint64), now[1], now[2])
 
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
@@ -264,15 +282,18 @@ def _residual_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
                         done()
                     now, held = key, []
                 held.append(batch.slice(s, e - s))
-            if len(found) >= 100_000:
+            if len(found) >= 50_000:
                 yield out()
                 found.clear()
         if held:
             done()
         yield out()
+        found.clear()
+        held.clear()
+        release_memory()
 
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return parts.mapInArrow(compare, "a bigint, b bigint, na bigint, nb bigint").distinct()
+    return parts.mapInArrow(compare, "a bigint, b bigint, na bigint, nb bigint")
 
 
 def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -287,24 +308,30 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     bound_batches(docs.sparkSession)
     sets = staged(_sets(docs, n, num, den), "sets")
     members = sets.filter("n > 0")
-    classes = staged(
-        members.groupBy("n", "d1", "d2").agg(F.min("_rid").alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes"
-    )
-    buckets = staged(_buckets(classes), "buckets")
-    about = classes.select("rep", "n", "sketch")
+    classes = staged(members.groupBy("n", "d1", "d2").agg(F.min("_rid").alias("rep"), F.min("doc_id").alias("first_id")), "classes")
+    copies = staged(members.select("_rid", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).filter("_rid <> rep").select("_rid"), "copies")
+    own = members.join(sized(copies), "_rid", "left_anti").select(F.col("_rid").alias("rep"), "n", "sketch", "keys")
+    buckets = staged(_buckets(own), "buckets")
+    about = own.select("rep", "n", "sketch")
 
+    # each class against the smallest of each of its buckets
     star = buckets.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = buckets.join(star, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    pairs = buckets.join(star, "key").filter("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     left, right = (about.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    sketched = staged(pairs.join(left, "a").join(right, "b").filter(_possible(num, den)).select("a", "b", "na", "nb"), "pairs")
-    links = _links(sketched, docs, n, num, den, "links")
+    possible = staged(pairs.join(left, "a").join(right, "b").filter(_possible(num, den)).select("a", "b", "na", "nb", "shared"), "pairs")
+    # first the one with which it shares most; most other pairs are then of one component
+    first = possible.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", "a")).alias("f")).select("f.a", "b", "f.na", "f.nb")
+    links = _links(first, docs, n, num, den, "links")
     comps = staged(components(links), "components")
 
-    mixed = buckets.join(comps.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
-    # a bucket whose classes are of one component needs no further comparison
-    several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo != hi and g > 2")
-    rest = mixed.join(several.select("key", F.ceil(F.col("g") / BLOCK).alias("blocks")), "key").join(about, "rep").select("key", "blocks", "rep", "comp", "n", "sketch")
-    more = staged(_residual_pairs(rest, num, den).join(sketched.select("a", "b"), ["a", "b"], "left_anti"), "residual")
+    node = comps.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    mixed = buckets.join(node, "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
+    # a bucket whose classes are of one component needs no further comparison, nor do pairs with its smallest class
+    several = mixed.groupBy("key").agg(F.min("rep").alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo != hi and g > 2")
+    rest = mixed.join(several.select("key", "a", F.ceil(F.col("g") / BLOCK).alias("blocks")), "key").filter("rep != a").join(about, "rep").select("key", "blocks", "rep", "comp", "n", "sketch")
+    across = possible.join(first.select("a", "b"), ["a", "b"], "left_anti").join(node.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a", "left").join(node.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b", "left")
+    across = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "na", "nb")
+    more = staged(_residual_pairs(rest, num, den).unionByName(across).distinct(), "residual")
     if not more.isEmpty():
         links = links.union(_links(more, docs, n, num, den, "more_links"))
         comps = staged(components(links), "components")
@@ -320,4 +347,4 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of a table scan without near duplicates: of each group the first row stays; texts without words all stay."""
     dropped = staged(near_groups(docs, n, num, den).filter("_rid != component").select("_rid"), "dropped")
-    return with_row_id(docs).join(sized(dropped), "_rid", "left_anti").drop("_rid")
+    return without(docs, dropped)
