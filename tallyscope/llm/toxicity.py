@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, crc32_of_id, rows_of
+from tallyscope.llm.common import bound_batches, crc32_of_id, rows_of, whole
 
 #: Labelled texts of each class on which the machine is fitted, at most (those first by a digest of their id).
 FIT_TEXTS = 3000
@@ -34,7 +34,7 @@ DECAY = 0.6
 THRESHOLD = 0.7
 #: Longest piece of a word that is scored at once; longer words are scored in overlapping pieces.
 PIECE = 24
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 #: Words handled together.
 CHUNK = 8192
 #: Size of the table in which weights are looked up.
@@ -248,7 +248,8 @@ def _seeds(stems: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray])
 def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     """Train on labelled texts. With one class alone the model is constant.
 
-    Texts become arrays of word numbers, so that memory follows the distinct words of the bounded sample.
+    Texts become arrays of word numbers, so that memory follows the distinct words of the bounded sample. The logistic fit
+    uses margins of texts that a first machine, trained on three quarters, hasn't seen; with few texts, those of all.
     """
     number: dict[str, int] = {}
     bags = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(instances(t))), np.int32) for t in texts]
@@ -258,6 +259,25 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     clean = [b for b, y in zip(bags, labels, strict=True) if not y and len(b)]
     if not toxic or not clean:
         return constant(0.9 if toxic else 0.05)
+    stems = _stems(vocabulary)
+    worst = lambda margin, own: np.array([margin[b].max() for b in own])
+    held = toxic[::4], clean[::4]
+    model, margin = None, None
+    if len(held[0]) >= 5 and len(held[1]) >= 5:
+        parts = [[b for i, b in enumerate(own) if i % 4] for own in (toxic, clean)]
+        _, margin = _train(vocabulary, stems, *parts, rounds)
+        seen = np.concatenate([worst(margin, own) for own in held])
+        model, _ = _train(vocabulary, stems, toxic, clean, rounds)
+    else:
+        held = toxic, clean
+        model, margin = _train(vocabulary, stems, toxic, clean, rounds)
+        seen = np.concatenate([worst(margin, own) for own in held])
+    model.slope, model.shift = _logistic(seen, np.array([1.0] * len(held[0]) + [0.0] * len(held[1])))
+    return model
+
+
+def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray], rounds: int) -> tuple[Model, np.ndarray]:
+    """The machine, not yet calibrated, and the margins of all words."""
     rng = np.random.default_rng(11)
     held = np.bincount(np.concatenate(clean), minlength=len(vocabulary))
     only_toxic = np.setdiff1d(np.concatenate(toxic), np.flatnonzero(held))
@@ -274,7 +294,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
                 out.append(new[rank[new] >= max(near * best, floor)] if floor <= best else new[[rank[new].argmax()]])
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
 
-    positive = witnesses(_seeds(_stems(vocabulary), toxic, clean), 0.5, 0.0)
+    positive = witnesses(_seeds(stems, toxic, clean), 0.5, 0.0)
     if not len(positive):
         positive = only_toxic if len(only_toxic) else np.unique(np.concatenate(toxic))
     positive = sample(positive, 4000)
@@ -306,21 +326,18 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
         if turn + 1 < rounds:
             again = witnesses(margin, 0.0, 0.5)
             positive = sample(again, 4000) if len(again) else positive
-    worst = np.array([margin[b].max() for b in [*toxic, *clean]])
-    truth = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    model.slope, model.shift = _logistic(worst, truth)
-    return model
+    return model, margin
 
 
 def _logistic(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of labels to margins, the classes balanced, its crossing of THRESHOLD where errors are fewest."""
+    """Logistic fit of labels to margins, its crossing of THRESHOLD where errors are fewest; of equal places the middle."""
     cuts = np.unique(np.clip(margin, -1.5, 1.5))
     cuts = np.concatenate(([cuts[0] - 0.1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 0.1]))
     order = np.sort(margin[truth == 1]), np.sort(margin[truth == 0])
     missed, false = np.searchsorted(order[0], cuts), len(order[1]) - np.searchsorted(order[1], cuts)
     cost = missed + false
     best = cuts[cost == cost.min()]
-    cut = float((best.min() + best.max()) / 2)
+    cut = float(np.clip((best.min() + best.max()) / 2, 0.5, 0.85))  # within the machine's margin, on the toxic side
     slope = 6.0
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
@@ -344,7 +361,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     are scored whole, however long; equal texts score alike; an empty table gives no rows. Columns named `score` or
     `predicted` are replaced.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 250)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop("score", "predicted")
 
@@ -376,7 +393,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the machine, trained on labelled rows among them, doesn't call toxic."""
     model = fit(*training_rows(docs, labels))
-    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return score(docs.select(whole(docs), "text"), model).filter("predicted = 0").select("_row.*")
 
 
 def held_out_crc(doc_id: int | None) -> bool:
