@@ -22,7 +22,7 @@ END_ID = 1
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Fixed pattern of byte-level BPE pre-tokens.
 _PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE_PIECES = 600_000
+_CACHE_PIECES = 200_000
 _encoders: dict[str, Encoder] = {}
 
 

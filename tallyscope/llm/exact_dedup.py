@@ -15,15 +15,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import scratch_path, sized, staged, with_row_id
+from tallyscope.llm.common import scratch_path, sized, staged, with_row_id, without
 
 #: The characters that don't count.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: State on disk; without preallocated files, which would outweigh the state where there are many partitions.
+#: State on disk; without preallocated files, which would outweigh the state where there are many partitions, and with
+#: one bound on the native memory of all stores of an executor.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 NO_ID = 9223372036854775807
 
@@ -118,4 +122,4 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, checkpo
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of a table scan that stay, with all its columns."""
     dropped = staged(decide(docs).filter("not kept").select("_rid"), "dropped")
-    return with_row_id(docs).join(sized(dropped), "_rid", "left_anti").drop("_rid")
+    return without(docs, dropped)
