@@ -27,6 +27,11 @@ def _words(rng: random.Random, low: int, high: int) -> str:
     return " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
 
 
+def _heading(rng: random.Random, low: int, high: int) -> str:
+    level = rng.randint(2, 4)
+    return f"<h{level}>{_words(rng, low, high)}</h{level}>"
+
+
 def _links(rng: random.Random) -> str:
     return "<ul>" + "".join(f'<li><a href="/{k}">{_words(rng, 1, 3)}</a></li>' for k in range(rng.randint(3, 7))) + "</ul>"
 
@@ -39,11 +44,11 @@ def _outside(rng: random.Random, region: str) -> str:
         body = f"<label>{_words(rng, 1, 3)}</label><input name='q'><p>{_words(rng, 2, 8)}</p>"
     elif region == "comments":
         one = rng.choice(["div", "li", "article", "section"])
-        body = f"<h3>{_words(rng, 1, 2)}</h3>" + "".join(f'<{one} class="{rng.choice(["comment", "reply", "comment-body"])}"><p>{_words(rng, 4, 60)}</p></{one}>' for _ in range(rng.randint(1, 4)))
+        body = _heading(rng, 1, 2) + "".join(f'<{one} class="{rng.choice(["comment", "reply", "comment-body"])}"><p>{_words(rng, 4, 60)}</p></{one}>' for _ in range(rng.randint(1, 4)))
     elif region in ("menu", "share"):
         body = _links(rng) if tag != "ul" else _links(rng)[4:-5]
     elif region == "sidebar":
-        body = f"<h{rng.randint(2, 4)}>{_words(rng, 1, 3)}</h2>" + rng.choice([_links(rng), f"<p>{_words(rng, 5, 30)}</p>"])
+        body = _heading(rng, 1, 3) + rng.choice([_links(rng), f"<p>{_words(rng, 5, 30)}</p>"])
     else:
         body = rng.choice([_words(rng, 3, 14), f"<p>{_words(rng, 4, 25)}</p>", f"&copy; {_words(rng, 2, 8)} <a href='/x'>{_words(rng, 1, 2)}</a>", _words(rng, 8, 40)])
     return f'<{tag}{attribute} data-label="0">{body}</{tag}>'
@@ -51,11 +56,13 @@ def _outside(rng: random.Random, region: str) -> str:
 
 def _paragraph(rng: random.Random) -> str:
     kind = rng.random()
-    if kind < 0.72:
+    if kind < 0.58:
         text = _words(rng, 1, 90)
         return f"<p>{text}</p>" if rng.random() < 0.7 else f'<p>{text} <a href="/a">{_words(rng, 1, 3)}</a> {_words(rng, 3, 20)}</p>'
+    if kind < 0.64:
+        return f"<div>{_words(rng, 2, 60)}</div>" if rng.random() < 0.5 else f"<div><p>{_words(rng, 2, 60)}</p></div>"
     if kind < 0.8:
-        return f"<h{rng.randint(2, 4)}>{_words(rng, 1, 7)}</h2>"
+        return _heading(rng, 1, 7)
     if kind < 0.86:
         return "<ul>" + "".join(f"<li>{_words(rng, 2, 18)}</li>" for _ in range(3)) + "</ul>"
     if kind < 0.9:

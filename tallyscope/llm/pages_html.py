@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The block elements of a page are the nodes of a tree; each is content or not. A node's evidence are its tag, the words of
-its class, id and role, the share of its own text that lies in links and the length of that text; an edge holds how
+its class, id and role, the share of its text that lies in links and the length of its own text; an edge holds how
 content passes from parent to child. Both are estimated from labelled pages. Sum-product message passing, once upward and
 once downward, gives the exact marginal of every node; text runs of nodes whose marginal is at least one half are kept.
 """
@@ -39,12 +39,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass
 class Node:
-    """A block element: its parent's number, evidence, and own text (characters, and those in links)."""
+    """A block element: its parent's number, evidence, own text (characters), and the text of its subtree (characters, and
+    those in links)."""
 
     parent: int
     tag: str
     words: tuple[str, ...] = ()
     chars: int = 0
+    below: int = 0
     linked: int = 0
     label: int | None = None
 
@@ -63,6 +65,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         runs.append((own, block, value))
         n = len(value.strip())
         nodes[own].chars += n
+        nodes[own].below += n
         if links:
             nodes[own].linked += n
 
@@ -119,13 +122,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if len(stack) > 2000:  # text of deeper elements belongs to those above
             stack.pop()
     text(page[at:])
+    for node in reversed(nodes[1:]):
+        nodes[node.parent].below += node.below
+        nodes[node.parent].linked += node.linked
     return nodes, runs
 
 
 def evidence(node: Node) -> list[str]:
     """Features of a node."""
-    share = node.linked / node.chars if node.chars else 0
-    out = [f"tag {node.tag}", f"links {0 if share < 0.2 else 1 if share < 0.6 else 2}", f"chars {min(node.chars.bit_length() // 2, 5)}"]
+    share = node.linked / node.below if node.below else 0
+    out = [f"tag {node.tag}", f"tag {node.tag} links {0 if share < 0.2 else 1 if share < 0.6 else 2}", f"chars {min(node.chars.bit_length() // 2, 5)}"]
     out += [f"word {w.rstrip('s') if len(w) > 3 else w}" for w in node.words]
     return out
 

@@ -133,7 +133,7 @@ def all_spans(text, weights):
 
 
 def test_secrets_match_brute_force(spark, small, weights):
-    docs = docs_of(spark, SECRETS)
+    docs = docs_of(spark, SECRETS).withColumn("doc_id", F.monotonically_increasing_id()).cache()
     corpus = spark.read.parquet(f"{small}/documents.parquet")
     for df in (docs, corpus):
         texts = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
