@@ -7,8 +7,8 @@ sought only among sets that have a whole non-empty fragment in common (sets with
 compare their empty ones). Overlaps of the pairs found are counted fragment by fragment and summed per pair.
 
 Equal sets are one class from the start, and classes stand for their copies. Within a bucket of classes that share
-a fragment, each class is first compared with one of them (of the smallest of its buckets, the one that it shares most
-with), which joins most of a group of near copies; only then are classes of different components in one bucket compared
+a fragment, each class is first compared with one of them (of the most central ones of its buckets, the one that it shares
+most with), which joins most of a group of near copies; only then are classes of different components in one bucket compared
 with each other, in blocks, by parity sketches whose distance never exceeds the true one. So no link is lost, and no group is spelled out as pairs.
 """
 
@@ -314,8 +314,10 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     buckets = staged(_buckets(own), "buckets")
     about = own.select("rep", "n", "sketch")
 
-    # each class against the smallest of each of its buckets
-    star = buckets.groupBy("key").agg(F.min("rep").alias("a"))
+    # each class against the most central one of each of its buckets, that which meets most others over all its buckets
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
+    central = buckets.join(sizes, "key").groupBy("rep").agg(F.sum(F.col("g") - 1).alias("w"))
+    star = staged(buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("a"), F.count(F.lit(1)).alias("g")), "stars")
     pairs = buckets.join(star, "key").filter("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     left, right = (about.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     possible = staged(pairs.join(left, "a").join(right, "b").filter(_possible(num, den)).select("a", "b", "na", "nb", "shared"), "pairs")
@@ -326,11 +328,13 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
 
     node = comps.select(F.col("node").alias("rep"), F.col("component").alias("c"))
     mixed = buckets.join(node, "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
-    # a bucket whose classes are of one component needs no further comparison, nor do pairs with its smallest class
-    several = mixed.groupBy("key").agg(F.min("rep").alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo != hi and g > 2")
-    rest = mixed.join(several.select("key", "a", F.ceil(F.col("g") / BLOCK).alias("blocks")), "key").filter("rep != a").join(about, "rep").select("key", "blocks", "rep", "comp", "n", "sketch")
+    # a bucket whose classes are of one component needs no further comparison, nor do pairs with its central class
+    several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo != hi and g > 2").select("key")
+    rest = mixed.join(several, "key", "left_semi").join(star.select("key", "a", F.ceil(F.col("g") / BLOCK).alias("blocks")), "key").filter("rep != a").join(about, "rep").select("key", "blocks", "rep", "comp", "n", "sketch")
     across = possible.join(first.select("a", "b"), ["a", "b"], "left_anti").join(node.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a", "left").join(node.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b", "left")
-    across = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "na", "nb")
+    across = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    turned = F.col("a") > F.col("b")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
     more = staged(_residual_pairs(rest, num, den).unionByName(across).distinct(), "residual")
     if not more.isEmpty():
         links = links.union(_links(more, docs, n, num, den, "more_links"))
