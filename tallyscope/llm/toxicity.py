@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, crc32_of_id, rows_of, whole
+from tallyscope.llm.common import bound_batches, crc32_of_id, release_memory, rows_of, whole
 
 #: Labelled texts of each class on which the machine is fitted, at most (those first by a digest of their id).
-FIT_TEXTS = 3000
+FIT_TEXTS = 2000
 LANDMARKS = 320
 DECAY = 0.6
 THRESHOLD = 0.7
@@ -273,6 +273,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
         model, margin = _train(vocabulary, stems, toxic, clean, rounds)
         seen = np.concatenate([worst(margin, own) for own in held])
     model.slope, model.shift = _logistic(seen, np.array([1.0] * len(held[0]) + [0.0] * len(held[1])))
+    del bags, vocabulary, stems, toxic, clean, margin
+    release_memory()
     return model
 
 
