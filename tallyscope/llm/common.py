@@ -77,17 +77,22 @@ def whole(df: DataFrame, name: str = "_row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
-def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of a table scan whose number isn't in `dropped` (`_rid`), with all their columns."""
-    kept = with_row_id(df.select(whole(df))).join(sized(dropped), "_rid", "left_anti")
-    return kept.select("_row.*")
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A table with its rows numbered: `_rid` and `_row`, all its columns, written once to the shared folder.
 
+    A second scan may be split otherwise (splits follow the cores that the cluster has at that time), so every later read
+    of a number and of what belongs to it has to come from this table.
+    """
+    return staged(with_row_id(df.select(whole(df))), name)
 
-def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number the rows of a table scan.
 
-    The number depends only on the file splits, so two plans over the same files agree on it.
-    """
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a `numbered` table whose number isn't in `dropped` (`_rid`), with all their columns."""
+    return rows.join(sized(dropped), "_rid", "left_anti").select("_row.*")
+
+
+def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
+    """Number the rows within one plan; another plan over the same files may number them otherwise."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

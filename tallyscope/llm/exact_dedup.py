@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import scratch_path, sized, staged, with_row_id, without
+from tallyscope.llm.common import numbered, scratch_path, sized, staged, with_row_id, without
 
 #: The characters that don't count.
 SPACE = " \t\n\x0b\x0c\r"
@@ -44,7 +44,12 @@ def sha256(text: Column) -> Column:
 
 def landing_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One compact row for each document: `_rid`, `doc_id`, `digest`, `n_chars` (code points of the original)."""
-    return with_row_id(docs.select("doc_id", "text")).select(
+    return _landing_rows(with_row_id(docs.select("doc_id", "text")), digest)
+
+
+def _landing_rows(texts: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """`landing_rows` of texts that have their `_rid`."""
+    return texts.select(
         "_rid", F.col("doc_id").cast("bigint").alias("doc_id"), digest(normalised(F.col("text"))).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars")
     )
 
@@ -88,17 +93,23 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, checkpo
     texts of white space alone. Of equal texts the row with the most code points stays, then the smallest
     `doc_id` (null last), then the first row, so of fully repeated rows one stays. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    return _decide(numbered(docs.select("doc_id", "text"), "numbered"), digest, checkpoint)
+
+
+def _decide(rows: DataFrame, digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None) -> DataFrame:
+    """`decide` of a `numbered` table."""
+    spark = rows.sparkSession
     path = scratch_path(spark, "landing")
-    rows = landing_rows(docs, digest)
-    rows.write.option("compression", "zstd").parquet(path)
-    landing = spark.read.schema(rows.schema).parquet(path)
+    read = rows.select("_rid", "_row.doc_id", "_row.text")
+    compact = _landing_rows(read, digest)
+    compact.write.option("compression", "zstd").parquet(path)
+    landing = spark.read.schema(compact.schema).parquet(path)
     if landing.isEmpty():
         return landing.select("_rid", "doc_id", F.lit(None).cast("bigint").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest")
     state = staged(stream_state(landing, path, checkpoint or scratch_path(spark, "state"), scratch_path(spark, "batches")), "groups")
 
     hits = state.filter("group_size > 1").select("digest")
-    texts = with_row_id(docs.select("doc_id", "text")).select("_rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), normalised(F.col("text")).alias("t")).withColumn("digest", digest(F.col("t")))
+    texts = read.select("_rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), normalised(F.col("text")).alias("t")).withColumn("digest", digest(F.col("t")))
     met = texts.join(sized(hits), "digest", "left_semi")
     differ = staged(met.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a != b").select("digest"), "collisions")
 
@@ -121,5 +132,6 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, checkpo
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of a table scan that stay, with all its columns."""
-    dropped = staged(decide(docs).filter("not kept").select("_rid"), "dropped")
-    return without(docs, dropped)
+    rows = numbered(docs, "numbered")
+    dropped = staged(_decide(rows).filter("not kept").select("_rid"), "dropped")
+    return without(rows, dropped)

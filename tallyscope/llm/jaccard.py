@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, discard, release_memory, rows_of, sized, staged, with_row_id, without
+from tallyscope.llm.common import bound_batches, discard, numbered, release_memory, rows_of, sized, staged, without
 from tallyscope.llm.components import components
 
 #: Ratio of the sizes that share a number of fragments.
@@ -103,8 +103,8 @@ def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, longs), axis=0)
 
 
-def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """`_rid`, `doc_id`, `n` (set size), `d1`, `d2` (digest of the set), `sketch`, `keys` (its fragments' keys)."""
+def _sets(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of a `numbered` table: `_rid`, `doc_id`, `n` (set size), `d1`, `d2` (digest of the set), `sketch`, `keys` (its fragments' keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -129,8 +129,8 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ["_rid", "doc_id", "n", "d1", "d2", "sketch", "keys"],
             )
 
-    rows = with_row_id(docs.select("doc_id", "text")).select("_rid", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "_rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, keys binary")
+    texts = rows.select("_rid", F.col("_row.doc_id").cast("bigint").alias("doc_id"), "_row.text")
+    return texts.mapInArrow(run, "_rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, keys binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInArrow(meet, "key bigint, rep bigint")
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def _overlaps(pairs: DataFrame, rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Adds `overlap` to pairs of classes (`a`, `b`), counted in vertical fragments and summed per pair; and the staged
     fragments of their texts."""
 
@@ -200,7 +200,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["rep", "part", "grams"])
 
     wanted = sized(pairs.select(F.col("a").alias("_rid")).union(pairs.select(F.col("b").alias("_rid"))).distinct())
-    texts = with_row_id(docs.select("text")).join(wanted, "_rid", "left_semi").select("_rid", "text")
+    texts = rows.select("_rid", "_row.text").join(wanted, "_rid", "left_semi")
     parts = staged(texts.mapInArrow(run, "rep bigint, part int, grams array<bigint>"), "fragments")
     a = parts.select(F.col("rep").alias("a"), "part", F.col("grams").alias("ga"))
     b = parts.select(F.col("rep").alias("b"), "part", F.col("grams").alias("gb"))
@@ -208,10 +208,10 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, Dat
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap")), parts
 
 
-def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
     """Those pairs (`a`, `b`, `na`, `nb`) whose similarity reaches the threshold."""
     o = F.col("overlap")
-    counted, fragments = _overlaps(pairs, docs, n)
+    counted, fragments = _overlaps(pairs, rows, n)
     out = staged(counted.filter(o * den >= (F.col("na") + F.col("nb") - o) * num).select("a", "b"), name)
     discard(fragments)
     return out
@@ -305,8 +305,13 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     empty texts have no n-grams and link with nothing; texts of fewer than n words are one n-gram. Repeated rows are
     equal sets and so linked. Null identifiers are skipped in `component_id` unless a component has no other.
     """
-    bound_batches(docs.sparkSession)
-    sets = staged(_sets(docs, n, num, den), "sets")
+    return _near_groups(numbered(docs.select("doc_id", "text"), "numbered"), n, num, den)
+
+
+def _near_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """`near_groups` of a `numbered` table."""
+    bound_batches(rows.sparkSession)
+    sets = staged(_sets(rows, n, num, den), "sets")
     members = sets.filter("n > 0")
     classes = staged(members.groupBy("n", "d1", "d2").agg(F.min("_rid").alias("rep"), F.min("doc_id").alias("first_id")), "classes")
     copies = staged(members.select("_rid", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).filter("_rid <> rep").select("_rid"), "copies")
@@ -323,7 +328,7 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     possible = staged(pairs.join(left, "a").join(right, "b").filter(_possible(num, den)).select("a", "b", "na", "nb", "shared"), "pairs")
     # first the one with which it shares most; most other pairs are then of one component
     first = possible.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", "a")).alias("f")).select("f.a", "b", "f.na", "f.nb")
-    links = _links(first, docs, n, num, den, "links")
+    links = _links(first, rows, n, num, den, "links")
     comps = staged(components(links), "components")
 
     node = comps.select(F.col("node").alias("rep"), F.col("component").alias("c"))
@@ -337,7 +342,7 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
     more = staged(_residual_pairs(rest, num, den).unionByName(across).distinct(), "residual")
     if not more.isEmpty():
-        links = links.union(_links(more, docs, n, num, den, "more_links"))
+        links = links.union(_links(more, rows, n, num, den, "more_links"))
         comps = staged(components(links), "components")
 
     named = classes.select("rep", "n", "d1", "d2", "first_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -350,5 +355,6 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of a table scan without near duplicates: of each group the first row stays; texts without words all stay."""
-    dropped = staged(near_groups(docs, n, num, den).filter("_rid != component").select("_rid"), "dropped")
-    return without(docs, dropped)
+    rows = numbered(docs, "numbered")
+    dropped = staged(_near_groups(rows, n, num, den).filter("_rid != component").select("_rid"), "dropped")
+    return without(rows, dropped)

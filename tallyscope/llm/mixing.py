@@ -144,7 +144,7 @@ def mix_report(docs: DataFrame, labels: DataFrame | None = None, seed: str = "mi
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The mixed corpus with the columns of `docs`: whole documents, each as often as the mix takes it."""
-    rows = _keyed(docs, labels, seed)
-    keyed = staged(rows.select("_rid", "doc_id", "source", "_size", "_key"), "keyed")
+    rows = staged(_keyed(docs, labels, seed), "keyed")  # row numbers are only good within this table
+    keyed = rows.select("_rid", "doc_id", "source", "_size", "_key")
     times = _times(rows, plan(keyed, weights, epochs)).filter("_times > 0")
     return times.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select("_row.*")
