@@ -51,8 +51,11 @@ class Node:
     label: int | None = None
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
-    """The block nodes of a page, parents first, and its text runs as (node, block number, decoded text)."""
+def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int, int, str]]]:
+    """The block nodes of a page, parents first, and its text runs as (node, block number, decoded text).
+
+    `data-label` (0 or 1) is read from `labelled` pages alone: others use that attribute for purposes of their own.
+    """
     nodes, runs = [Node(-1, "#root")], []
     stack: list[tuple[str, int]] = [("#root", 0)]
     at, block, links, opaque = 0, 0, 0, 0
@@ -114,7 +117,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         words, label = [], None
         for name, value in _NAMES.findall(rest):
             if name.lower() == "data-label":
-                label = int(value.strip("\"'"))
+                if labelled and (given := value.strip("\"'")) in ("0", "1"):
+                    label = int(given)
             else:
                 words.extend(w.lower() for w in _WORD.findall(value))
         nodes.append(Node(stack[-1][1], tag, tuple(dict.fromkeys(words)), label=label))
@@ -215,7 +219,7 @@ def main_text(page: str | None, model: Model) -> str:
     """The text of a page's content nodes: blocks in page order, one line each."""
     if not page:
         return ""
-    nodes, runs = parse(page)
+    nodes, runs = parse(page, labelled=False)
     keep = [p >= 0.5 for p in model.marginals(nodes)]
     blocks: list[str] = []
     now, held = -1, []
