@@ -29,8 +29,17 @@ OPAQUE = frozenset("script style noscript template textarea select button iframe
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
+#: Fixed lists for what hides text: foreign elements, those within them whose content is HTML again, the start tags that end
+#: foreign content, those that may stand in a head, those that end an open select, and those that no button can hold.
+FOREIGN = frozenset("svg math".split())
+POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+ENDS_SELECT = frozenset("select input keygen textarea caption table tbody tfoot thead tr td th body".split())
+ENDS_BUTTON = frozenset("button article main section nav aside header footer body".split())
+
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|svg|template)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|(?P<open><(script|style|textarea|title|noscript|iframe|template)(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*+>).*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -58,10 +67,17 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
     """
     nodes, runs = [Node(-1, "#root")], []
     stack: list[tuple[str, int]] = [("#root", 0)]
-    at, block, links, opaque = 0, 0, 0, 0
+    #: open elements that hide text, and all that is open in foreign ones: name, open blocks before it, and for what is in
+    #: foreign content the nearest foreign element or point of HTML in it
+    hidden: list[tuple[str, int, str]] = []
+    at, block, links = 0, 0, 0
 
     def text(raw: str) -> None:
-        if opaque or not raw:
+        if not raw:
+            return
+        if hidden and hidden[-1][0] == "head" and not raw.isspace():
+            hidden.pop()
+        if hidden:
             return
         value = html.unescape(raw) if "&" in raw else raw
         own = stack[-1][1]
@@ -72,47 +88,104 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
         if links:
             nodes[own].linked += n
 
-    for m in _TOKEN.finditer(page):
+    def hide(tag: str) -> None:
+        near = hidden[-1][2] if hidden else ""
+        if len(hidden) < 2000:
+            hidden.append((tag, len(stack), tag if tag in FOREIGN or near and tag in POINTS else near))
+
+    def show(*tags: str) -> bool:
+        """Close the innermost of such elements and all within it."""
+        for k in range(len(hidden) - 1, -1, -1):
+            if hidden[k][0] in tags:
+                del stack[max(hidden[k][1], 1) :], hidden[k:]
+                return True
+        return False
+
+    def close(k: int) -> None:
+        """Close the block in this place of the stack and all within it."""
+        del stack[k:]
+        while hidden and hidden[-1][1] > k:
+            hidden.pop()
+
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
-        tag = m.group(3)
+        if m.group(2):  # an element of raw text, which foreign content doesn't have
+            tag = m.group(2).lower()
+            if hidden and hidden[-1][2] in FOREIGN:
+                at = m.end("open")
+                if page[at - 2] != "/":
+                    hide(tag)
+            elif tag not in IN_HEAD:
+                show("head")
+                if tag in ENDS_SELECT:
+                    show("select")
+            continue
+        tag = m.group(4)
         if tag is None:
             continue
         tag = tag.lower()
-        if m.group(2):
+        if m.group(3):
+            if hidden and show(tag):
+                continue
+            if tag in ("body", "html", "br"):
+                show("head")
+            if tag == "optgroup" and hidden and hidden[-1][0] == "option":
+                hidden.pop()
             if tag == "a":
                 links = max(links - 1, 0)
             elif tag in OPAQUE:
-                opaque = max(opaque - 1, 0)
+                pass
             elif tag == "p" and not any(t == "p" for t, _ in stack):
                 block += 1
             elif tag not in INLINE:
                 block += 1
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        close(k)
                         break
             continue
-        rest = m.group(4)
+        rest = m.group(5)
+        if hidden:
+            if hidden[-1][2] in FOREIGN and tag in BREAKOUT:
+                while hidden and hidden[-1][2] in FOREIGN:
+                    hidden.pop()
+            if hidden and hidden[-1][2]:
+                if tag not in VOID and not rest.endswith("/"):
+                    hide(tag)
+                continue
+        if hidden:
+            if tag not in IN_HEAD:
+                show("head")
+            if tag in ENDS_SELECT and show("select") and tag == "select":
+                continue
+            if tag in ENDS_BUTTON:
+                show("button")
+            if tag in ("option", "optgroup") and hidden and hidden[-1][0] == "option":
+                hidden.pop()
+        if tag == "head" and (nodes[0].chars or any(n.tag != "html" for n in nodes[1:4])):
+            continue  # the body has begun
         if tag == "a":
             links += 1
         if tag == "br":
             text(" ")
         if tag in OPAQUE:
-            opaque += not rest.endswith("/")
+            if not rest.endswith("/"):
+                hide(tag)
             continue
         if tag in INLINE:
             continue
         block += 1
         if tag in VOID:
             continue
+        inside = hidden[-1][1] if hidden else 1  # a start tag closes nothing beyond what hides it
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, inside - 1, -1):
                 if stack[k][0] in _BARRIER[tag]:
                     break
                 if stack[k][0] in CLOSES[tag]:
                     del stack[k:]
-        elif stack[-1][0] == "p":
+        elif stack[-1][0] == "p" and len(stack) > inside:
             stack.pop()
         words, label = [], None
         for name, value in _NAMES.findall(rest):
