@@ -96,7 +96,7 @@ def auc(truth: np.ndarray, score: np.ndarray) -> float | None:
     return float((np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / (2 * len(pos) * len(neg)))
 
 
-def bootstrap(rows: DataFrame, statistic: Statistic, resamples: int = 1000, confidence: float = 0.95, seed: int = 42, cluster: str | None = None, stratified: bool = True, truth: str = "truth", score: str = "score", exact: bool = False) -> DataFrame:
+def bootstrap(rows: DataFrame, statistic: Statistic, resamples: int = 10000, confidence: float = 0.95, seed: int = 42, cluster: str | None = None, stratified: bool = True, truth: str = "truth", score: str = "score", exact: bool = False) -> DataFrame:
     """Percentile interval of a statistic: `point`, `low`, `high`, `used`, `discarded`.
 
     The evaluation sample (some hundred to some ten thousand clips; not the corpus) is broadcast; resamples are drawn in
@@ -138,7 +138,7 @@ def bootstrap(rows: DataFrame, statistic: Statistic, resamples: int = 1000, conf
     )
 
 
-def permutation_test(rows: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], a: str, b: str, block: str, permutations: int = 2000, seed: int = 42) -> DataFrame:
+def permutation_test(rows: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], a: str, b: str, block: str, permutations: int = 20000, seed: int = 42) -> DataFrame:
     """How often b, shuffled within blocks, agrees with a as well as observed: `observed`, `at_least`, `p` = (1 + hits) / (1 +
     permutations) (M23). The sample is a paired evaluation table and is broadcast; permutations run in parallel."""
     sample = rows.select(a, b, block).orderBy(block, a, b).toPandas()

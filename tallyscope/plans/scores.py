@@ -386,18 +386,18 @@ def fusion_confirmatory(spark, sf_dir):
 
 @query("predictions", None)
 def bootstrap_ci(spark, sf_dir):
-    return intervals.bootstrap(X.predictions(spark, sf_dir), intervals.auc, 400)
+    return intervals.bootstrap(X.predictions(spark, sf_dir), intervals.auc, 10000)
 
 
 @query("predictions", None)
 def bootstrap_clustered(spark, sf_dir):
     rows = X.predictions(spark, sf_dir).withColumn("source", F.col("doc_id") % 20)
-    return intervals.bootstrap(rows, intervals.accuracy_at(0.5), 400, cluster="source")
+    return intervals.bootstrap(rows, intervals.accuracy_at(0.5), 10000, cluster="source")
 
 
 @query("paired_predictions", None)
 def permutation_test(spark, sf_dir):
-    return intervals.permutation_test(X.paired_predictions(spark, sf_dir), lambda x, y: float((x * y).mean()), "score", "score_b", "truth", 400)
+    return intervals.permutation_test(X.paired_predictions(spark, sf_dir), lambda x, y: float((x * y).mean()), "score", "score_b", "truth", 20000)
 
 
 @query("predictions", None)
