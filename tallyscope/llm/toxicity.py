@@ -7,9 +7,9 @@ the roots of the words' feature masses. Landmark words give the Nystroem map, in
 machine (squared hinge) is trained. Because the machine is linear in kernel values with the landmarks, its weights fold
 into one table of subsequences, and scoring a word is a sum over its own subsequences.
 
-Labels are of whole texts, so training is multiple-instance: every word of each sentence of a clean text is a
-negative instance; of a toxic text, a sentence's words that the current machine ranks highest are its witnesses. First
-witnesses are the words that hold subsequences seen in toxic texts alone. Hard negatives join in each round. A text's
+Labels are of whole texts, so training is multiple-instance, with the distinct words of a whole text as one bag; sentences are
+not told apart. Every word that a clean text holds is a negative instance, and never a positive one; of a toxic text, the other words
+that rank highest, first by log-odds of their stems and then by the current machine, are its witnesses. Hard negatives join in each round. A text's
 margin is that of its worst word, turned into a probability by a logistic fit.
 """
 
