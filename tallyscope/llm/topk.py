@@ -87,7 +87,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE)
     id. Vectors that are null or hold null or non-finite components, and those without an id, take no part. Missing
     trailing components count as zeros. A repeated row is a candidate each time, and one query; of several vectors
     with the id of a query one is the query. With fewer candidates than k all are returned; an empty table gives
-    no rows. The pivots are fitted on at most FIT_ROWS vectors, every vector is indexed.
+    no rows. A finite component of 2^24 or more in size after scaling raises ValueError: sums of its products might not be exact.
+    The pivots are fitted on at most FIT_ROWS vectors, every vector is indexed.
     """
     spark = vectors.sparkSession
     bound_batches(spark, BLOCK_ROWS)
