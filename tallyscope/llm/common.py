@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyscope.sources.shipping import ship_code
 
-#: Rows of one identifier column that may be broadcast (16 bytes each with overhead: under 16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a side may have to be broadcast.
+BROADCAST_BYTES = 16_000_000
 
-#: Rows in one Arrow batch handed to Python, so that a batch of long texts stays small.
+#: Rows that a Python map takes up at once. The bytes of an Arrow batch are bounded by Spark itself
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set otherwise).
 ARROW_ROWS = 1_000
 
 _own_scratch: str | None = None
@@ -27,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none."""
+    """The shared folder of the cluster. Only where the session names none and runs on one machine, a temporary one."""
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if _own_scratch is None:
         _own_scratch = "file://" + tempfile.mkdtemp(prefix="tallyscope-")
     return _own_scratch
@@ -49,27 +52,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later read needs."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcasting if it is proven to be small; else Spark shuffles both sides."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+def sized(df: DataFrame) -> DataFrame:
+    """Mark a narrow table for broadcasting if its bytes, counted, are few; else Spark shuffles both sides."""
+    fixed = sum(8 for f in df.schema.fields if f.dataType.typeName() != "string") + 24
+    strings = [F.length(c.name) + 32 for c in df.schema.fields if c.dataType.typeName() == "string"]
+    width = sum(map(F.coalesce, strings, [F.lit(0)] * len(strings)), F.lit(fixed))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def whole(df: DataFrame, name: str = "_row") -> Column:
@@ -101,13 +93,15 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
 
 
-def rows_of(batches: Iterator, column: str) -> Iterator:
-    """Pairs of an Arrow batch and the Python list of one of its columns.
+def rows_of(batches: Iterator, column: str, rows: int = ARROW_ROWS) -> Iterator:
+    """Pairs of an Arrow batch, of `rows` rows at most, and the Python list of one of its columns.
 
     At the end the worker, which Spark keeps for later tasks, gives what it no longer needs back to the system.
     """
     for batch in batches:
-        yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield part, part.column(part.schema.get_field_index(column)).to_pylist()
     release_memory()
 
 

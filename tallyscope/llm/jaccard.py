@@ -4,12 +4,14 @@ The distinct word n-grams of a text are hashed to 64 bits; the order of the hash
 cut into fragments. Two sets with a Jaccard similarity of t or more differ in at most (1 - t) / t of the smaller
 size, d elements. Cut into d + 2 fragments, they agree in at least two of these, so pairs of different texts are
 sought only among sets that have a whole non-empty fragment in common (sets with several empty fragments also
-compare their empty ones). Overlaps of the pairs found are counted fragment by fragment and summed per pair.
+compare their empty ones). Overlaps of such pairs are counted in vertical fragments of the global order, one after the other, and summed per pair.
 
 Equal sets are one class from the start, and classes stand for their copies. Within a bucket of classes that share
 a fragment, each class is first compared with one of them (of the most central ones of its buckets, the one that it shares
-most with), which joins most of a group of near copies; only then are classes of different components in one bucket compared
-with each other, in blocks, by parity sketches whose distance never exceeds the true one. So no link is lost, and no group is spelled out as pairs.
+most with), which joins most of a group of near copies. Only then are classes of different components in one bucket compared
+with each other, in blocks, by parity sketches whose distance never exceeds the true one. Of the pairs that these allow a task keeps a
+spanning forest; its components are groups outside of which no further link can lie, and within a group all pairs of different
+components are counted exactly, block by block, of whose links again a spanning forest is kept. So no link is lost, and no group is spelled out as pairs.
 """
 
 from __future__ import annotations
@@ -22,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, discard, numbered, release_memory, rows_of, sized, staged, without
+from tallyscope.llm.common import numbered, release_memory, rows_of, sized, staged, without
 from tallyscope.llm.components import components
 
 #: Ratio of the sizes that share a number of fragments.
 SIZE_STEP = 1.5
 #: Bits of the smallest parity sketch; others have the power of two from the size of their set on.
 SKETCH_BITS = 256
-#: Vertical fragments in which the overlaps of a pair are counted.
-PARTS = 8
+#: Elements of a set in one vertical fragment, about; longer sets are cut into more fragments.
+FRAGMENT = 512
 #: Fragment keys aimed at in one bucket task (16 bytes each).
 TASK_KEYS = 1_000_000
-#: Classes in one block of a bucket.
+#: Classes in one block of a bucket or of a group.
 BLOCK = 512
 
 _U = np.uint64
@@ -181,40 +183,196 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInArrow(meet, "key bigint, rep bigint")
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Adds `overlap` to pairs of classes (`a`, `b`), counted in vertical fragments and summed per pair; and the staged
-    fragments of their texts."""
+def _fragment_bits(size):
+    """Bits of a column of set sizes: sets are cut into two to this power fragments of about FRAGMENT elements."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(size / FRAGMENT))).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Consecutive rows that agree in their first columns, with the values of these."""
+    now, held = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True))
+        start = 0
+        for end in range(1, len(keys) + 1):
+            if end == len(keys) or keys[end] != keys[start]:
+                if keys[start] != now:
+                    if held:
+                        yield now, held
+                    now, held = keys[start], []
+                held.append(batch.slice(start, end - start))
+                start = end
+    if held:
+        yield now, held
+
+
+class _Forest:
+    """Edges that join what earlier ones haven't joined yet, for one task."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def add(self, near: np.ndarray, left: np.ndarray, right: np.ndarray, own_left: np.ndarray, own_right: np.ndarray) -> None:
+        """A spanning forest of the pairs marked in `near` (rows `left`, columns `right`), reduced to one of the nodes `own_*` that they stand for."""
+        seen_left, seen_right = ~near.any(1), np.zeros(near.shape[1], bool)
+        for s in np.flatnonzero(~seen_left).tolist():
+            if seen_left[s]:
+                continue
+            seen_left[s] = True
+            front = [s]
+            while front:
+                x = front.pop()
+                met = np.flatnonzero(near[x] & ~seen_right)
+                seen_right[met] = True
+                for y in met.tolist():
+                    others = np.flatnonzero(near[:, y] & ~seen_left)
+                    seen_left[others] = True
+                    front += others.tolist()
+                    for z in (x, *others.tolist()):
+                        u, v = self._root(int(own_left[z])), self._root(int(own_right[y]))
+                        if u != v:
+                            self.parent[max(u, v)] = min(u, v)
+                            self.edges.append((int(left[z]), int(right[y])))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.edges, strict=True)) or [[], []]
+        self.edges = []
+        if len(self.parent) > 500_000:
+            self.parent = {}
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def _links(dealt: DataFrame, rows: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
+    """Links (`a`, `b`) that span what all links within the comparisons `dealt` join.
+
+    A comparison (`task`) holds classes (`rep`) on its left (`side` 1), its right (2) or both (3), about BLOCK on each; all left ones
+    are compared with all right ones of another component (`comp`). Their sets are cut into two to the power `bits` fragments;
+    the overlaps of all pairs are counted in one fragment after the other and summed.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches, "text"):
-            rep, part, grams = [], [], []
-            for own, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                with np.errstate(over="ignore"):
-                    s = gram_hashes(text, n)
-                cuts = np.searchsorted(s >> _U(61), np.arange(PARTS + 1, dtype=np.uint64))
-                for k in range(PARTS):
+            rep, bits, part, grams, held = [], [], [], [], 0
+            for own, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                s = gram_hashes(text, n)
+                cuts = np.searchsorted(s >> _U(64 - b), np.arange((1 << b) + 1, dtype=np.uint64)) if b else [0, len(s)]
+                for k in range(1 << b):
                     if cuts[k] < cuts[k + 1]:
                         rep.append(own)
+                        bits.append(b)
                         part.append(k)
                         grams.append(s[cuts[k] : cuts[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["rep", "part", "grams"])
+                        held += len(grams[-1])
+                if held > 1_000_000:
+                    yield fragments(rep, bits, part, grams)
+                    rep, bits, part, grams, held = [], [], [], [], 0
+            yield fragments(rep, bits, part, grams)
+
+    def fragments(rep: list, bits: list, part: list, grams: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(bits, pa.int32()), pa.array(part, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["rep", "bits", "part", "grams"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        now, place, comp, size, sides, overlap = None, {}, [], None, None, None
+
+        def ended() -> None:
+            m = len(place)
+            rep, own = np.array(list(place)), np.array(comp)
+            left, right = np.flatnonzero(sides[:m] & 1), np.flatnonzero(sides[:m] & 2)
+            o = np.rint(overlap[:m, :m][np.ix_(left, right)]).astype(np.int64)
+            both = size[:m][left][:, None] + size[:m][right][None, :]
+            forest.add((o * (den + num) >= both * num) & (own[left][:, None] != own[right][None, :]), rep[left], rep[right], own[left], own[right])
+
+        for (task, _), held in _runs(batches, 2):
+            if task != now:
+                if now is not None:
+                    ended()
+                    if len(forest.edges) > 50_000:
+                        yield forest.batch()
+                now, place, comp = task, {}, []
+                size, sides, overlap = np.zeros(64, np.int64), np.zeros(64, np.int8), np.zeros((64, 64), np.float32)
+            owners, side, grams, lengths = [], [], [], []
+            for part in held:
+                for r, c, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    if r not in place:
+                        place[r] = len(place)
+                        comp.append(c)
+                    owners.append(place[r])
+                    side.append(s)
+                lengths.append(part.column(5).value_lengths().to_numpy())
+                grams.append(part.column(5).flatten().to_numpy())
+            if len(place) > len(size):
+                more = 2 * len(place)
+                size, sides = np.pad(size, (0, more - len(size))), np.pad(sides, (0, more - len(sides)))
+                overlap = np.pad(overlap, (0, more - len(overlap)))
+            owners, lengths, grams = np.array(owners), np.concatenate(lengths), np.concatenate(grams)
+            sides[owners] = side
+            size[owners] += lengths
+            _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
+            common = np.flatnonzero(times > 1)
+            slot = np.full(len(times), -1)
+            slot[common] = np.arange(len(common))
+            at, col = np.repeat(np.arange(len(owners)), lengths), slot[column]
+            at, col = at[col >= 0], col[col >= 0]
+            order = np.argsort(col, kind="stable")
+            at, col = at[order], col[order]
+            l, r = (np.flatnonzero(sides[owners] & k) for k in (1, 2))  # noqa: E741
+            for s in range(0, len(common), 4096):
+                i, j = np.searchsorted(col, (s, s + 4096))
+                has = np.zeros((len(owners), min(4096, len(common) - s)), np.float32)
+                has[at[i:j], col[i:j] - s] = 1
+                overlap[np.ix_(owners[l], owners[r])] += has[l] @ has[r].T
+        if now is not None:
+            ended()
+        yield forest.batch()
+        release_memory()
+
+    dealt = staged(dealt, name + "_dealt")
+    wanted = sized(dealt.select(F.col("rep").alias("_rid"), "bits").distinct())
+    texts = rows.select("_rid", "_row.text").join(wanted, "_rid").select("_rid", "bits", "text")
+    parts = texts.mapInArrow(cut, "rep bigint, bits int, part int, grams array<bigint>")
+    met = parts.join(sized(dealt), ["rep", "bits"]).select("task", "part", "rep", "comp", "side", "grams")
+    sorted_ = met.repartition("task").sortWithinPartitions("task", "part")
+    return staged(sorted_.mapInArrow(count, "a bigint, b bigint"), name)
 
-    wanted = sized(pairs.select(F.col("a").alias("_rid")).union(pairs.select(F.col("b").alias("_rid"))).distinct())
-    texts = rows.select("_rid", "_row.text").join(wanted, "_rid", "left_semi")
-    parts = staged(texts.mapInArrow(run, "rep bigint, part int, grams array<bigint>"), "fragments")
-    a = parts.select(F.col("rep").alias("a"), "part", F.col("grams").alias("ga"))
-    b = parts.select(F.col("rep").alias("b"), "part", F.col("grams").alias("gb"))
-    partial = pairs.join(a, "a").join(b, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap")), parts
 
+def _star_tasks(first: DataFrame) -> DataFrame:
+    """Comparisons of each class `b` with its one centre `a`, from `a`, `b`, `na`, `nb`."""
+    about = first.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.greatest(F.max("na"), F.max("nb")).alias("n"))
+    about = about.select("a", "blocks", _fragment_bits(F.col("n")).alias("bits"))
+    task = lambda k: F.concat_ws(":", "a", k).alias("task")
+    left = about.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task("k"), F.col("a").alias("rep"), F.col("a").alias("comp"), F.lit(1).alias("side"), "bits")
+    right = first.select("a", "b").join(about, "a").select(task(F.pmod(F.xxhash64("b"), "blocks")), F.col("b").alias("rep"), F.col("b").alias("comp"), F.lit(2).alias("side"), "bits")
+    return left.unionByName(right)
 
-def _links(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
-    """Those pairs (`a`, `b`, `na`, `nb`) whose similarity reaches the threshold."""
-    o = F.col("overlap")
-    counted, fragments = _overlaps(pairs, rows, n)
-    out = staged(counted.filter(o * den >= (F.col("na") + F.col("nb") - o) * num).select("a", "b"), name)
-    discard(fragments)
-    return out
+
+def _group_tasks(members: DataFrame) -> DataFrame:
+    """Comparisons of all pairs of different components within each group, in blocks, from `grp`, `rep`, `comp`, `n`.
+
+    A component of more than BLOCK members has blocks of its own, which are never compared with each other.
+    """
+    counts = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    own = F.when(F.col("m") > BLOCK, F.col("comp")).otherwise(F.lit(-1))
+    parts = staged(counts.select("grp", own.alias("c"), "m", "n").groupBy("grp", "c").agg(F.ceil(F.sum("m") / BLOCK).alias("blocks"), F.max("n").alias("n")), "parts")
+    bits = parts.groupBy("grp").agg(_fragment_bits(F.max("n")).alias("bits"))
+    large = counts.filter(F.col("m") > BLOCK).select("grp", "comp", F.col("comp").alias("c"))
+    placed = members.join(large, ["grp", "comp"], "left").withColumn("c", F.coalesce("c", F.lit(-1))).join(parts.drop("n"), ["grp", "c"]).join(bits, "grp")
+    placed = placed.select("grp", "c", F.pmod(F.xxhash64("rep"), "blocks").alias("k"), "rep", "comp", "bits")
+    blocks = parts.select("grp", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    x, y = (blocks.select("grp", F.struct("c", "k").alias(name)) for name in "xy")
+    pairs = x.join(y, "grp").filter("x <= y and (x.c <> y.c or x.c = -1)")
+    task = F.concat_ws(":", "grp", "x.c", "x.k", "y.c", "y.k")
+    same = F.col("x") == F.col("y")
+    left = pairs.select("grp", task.alias("task"), "x.c", "x.k", F.when(same, 3).otherwise(1).alias("side"))
+    right = pairs.filter(~same).select("grp", task.alias("task"), "y.c", "y.k", F.lit(2).alias("side"))
+    return placed.join(left.unionByName(right), ["grp", "c", "k"]).select("task", "rep", "comp", "side", "bits")
 
 
 def _possible(num: int, den: int):
@@ -231,69 +389,47 @@ def _distance():
     return F.aggregate(F.zip_with(at("sa"), at("sb"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda acc, x: acc + x)
 
 
-def _residual_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different components in one bucket that sizes and sketches allow, from rows
-    (`key`, `blocks`, `rep`, `comp`, `n`, `sketch`) of the buckets that hold several components."""
+def _candidates(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (`a`, `b`) that span what all pairs of different components in one bucket join that sizes and sketches allow, from rows
+    (`key`, `blocks`, `rep`, `comp`, `n`, `sketch`) of the buckets that hold several components. A task returns fewer of them than it has classes."""
     rows = buckets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").cast("bigint").alias("i"), F.greatest("own", "other").cast("bigint").alias("j"), F.col("own").cast("bigint").alias("own"), "rep", "comp", "n", "sketch"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(own: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, i: int, j: int) -> None:
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            step = max(1, (1 << 18) // max(1, len(right) * sketch.shape[1]))
-            for s in range(0, len(left), step):
-                x, y = (v.ravel() for v in np.meshgrid(left[s : s + step], right, indexing="ij"))
-                ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
-                if i == j:
-                    ok &= x < y
-                x, y = x[ok], y[ok]
-                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
-                near = far * (den + num) <= (n[x] + n[y]) * (den - num)
-                x, y = x[near], y[near]
-                a, b = np.where(rep[x] < rep[y], x, y), np.where(rep[x] < rep[y], y, x)
-                found.update(zip(rep[a].tolist(), rep[b].tolist(), n[a].tolist(), n[b].tolist(), strict=True))
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "na", "nb"])
-
-        found: set[tuple[int, int, int, int]] = set()
-        now, held = None, []
-
-        def done() -> None:
-            column = lambda k: np.concatenate([b.column(k).to_numpy() for b in held])
+        forest = _Forest()
+        for (_, i, j), held in _runs(batches, 3):
+            own, rep, comp, n = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3, 7))
             longs = min(int(b.column(7).value_lengths().to_numpy().min()) for b in held)
             sketch = []
             for b in held:
                 values, cuts = b.column(7).flatten().to_numpy(), np.concatenate(([0], np.cumsum(b.column(7).value_lengths().to_numpy())))
                 sketch += [folded(values[s:e], longs) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            block(column(3), column(4), column(5), column(6), np.array(sketch).view(np.uint64), now[1], now[2])
-
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1).astype(np.int64)
-            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if e == s:
-                    continue
-                if now != (key := tuple(keys[s].tolist())):
-                    if held:
-                        done()
-                    now, held = key, []
-                held.append(batch.slice(s, e - s))
-            if len(found) >= 50_000:
-                yield out()
-                found.clear()
-        if held:
-            done()
-        yield out()
-        found.clear()
-        held.clear()
+            sketch = np.array(sketch).view(np.uint64)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            if not len(left) or not len(right):
+                continue
+            near = np.zeros((len(left), len(right)), bool)
+            step = max(1, (1 << 18) // (len(right) * longs))
+            for s in range(0, len(left), step):
+                x, y = (v.ravel() for v in np.meshgrid(np.arange(s, min(s + step, len(left))), np.arange(len(right)), indexing="ij"))
+                p, q = left[x], right[y]
+                ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) * den >= np.maximum(n[p], n[q]) * num)
+                if i == j:
+                    ok &= p < q
+                x, y, p, q = x[ok], y[ok], p[ok], q[ok]
+                far = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
+                hit = far * (den + num) <= (n[p] + n[q]) * (den - num)
+                near[x[hit], y[hit]] = True
+            forest.add(near, rep[left], rep[right], rep[left], rep[right])
+            if len(forest.edges) > 50_000:
+                yield forest.batch()
+        yield forest.batch()
         release_memory()
 
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return parts.mapInArrow(compare, "a bigint, b bigint, na bigint, nb bigint")
+    return parts.mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -310,7 +446,6 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
 
 def _near_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """`near_groups` of a `numbered` table."""
-    bound_batches(rows.sparkSession)
     sets = staged(_sets(rows, n, num, den), "sets")
     members = sets.filter("n > 0")
     classes = staged(members.groupBy("n", "d1", "d2").agg(F.min("_rid").alias("rep"), F.min("doc_id").alias("first_id")), "classes")
@@ -328,7 +463,8 @@ def _near_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     possible = staged(pairs.join(left, "a").join(right, "b").filter(_possible(num, den)).select("a", "b", "na", "nb", "shared"), "pairs")
     # first the one with which it shares most; most other pairs are then of one component
     first = possible.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", "a")).alias("f")).select("f.a", "b", "f.na", "f.nb")
-    links = _links(first, rows, n, num, den, "links")
+    first = staged(first, "first")
+    links = _links(_star_tasks(first), rows, n, num, den, "links")
     comps = staged(components(links), "components")
 
     node = comps.select(F.col("node").alias("rep"), F.col("component").alias("c"))
@@ -337,12 +473,13 @@ def _near_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo != hi and g > 2").select("key")
     rest = mixed.join(several, "key", "left_semi").join(star.select("key", "a", F.ceil(F.col("g") / BLOCK).alias("blocks")), "key").filter("rep != a").join(about, "rep").select("key", "blocks", "rep", "comp", "n", "sketch")
     across = possible.join(first.select("a", "b"), ["a", "b"], "left_anti").join(node.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a", "left").join(node.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b", "left")
-    across = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    turned = F.col("a") > F.col("b")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-    more = staged(_residual_pairs(rest, num, den).unionByName(across).distinct(), "residual")
-    if not more.isEmpty():
-        links = links.union(_links(more, rows, n, num, den, "more_links"))
+    across = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    # candidates chain classes to groups; every link still missing lies within one of these
+    candidates = staged(_candidates(rest, num, den).unionByName(across).distinct(), "candidates")
+    if not candidates.isEmpty():
+        grouped = staged(components(candidates), "candidate_groups").select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+        members = grouped.join(node, "rep", "left").join(about.select("rep", "n"), "rep").select("grp", "rep", F.coalesce("c", "rep").alias("comp"), "n")
+        links = links.union(_links(_group_tasks(staged(members, "members")), rows, n, num, den, "more_links"))
         comps = staged(components(links), "components")
 
     named = classes.select("rep", "n", "d1", "d2", "first_id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, rows_of, sized, staged
+from tallyscope.llm.common import rows_of, sized, staged
 
 #: Labelled documents of each language on which the text models are fitted, at most.
 FIT_DOCS = 400
@@ -125,14 +125,13 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     the corpus's. Declarations in other languages are evidence as any. Repeated rows are identified each. Without any
     language `lang` is null. Very long pages are read whole.
     """
-    bound_batches(pages.sparkSession, 500)
     spark = pages.sparkSession
     shared, names = spark.sparkContext.broadcast(model), model.languages
     size = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch, sources in rows_of(batches, "html"):
+        for batch, sources in rows_of(batches, "html", 500):
             scores = [own.loglik(page_text(s))[:size] for s in sources]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(2), pa.array(scores, pa.list_(pa.float64()))], ["page_id", "url", "declared", "loglik"])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyscope.llm import encoding
-from tallyscope.llm.common import bound_batches, rows_of
+from tallyscope.llm.common import rows_of
 
 CONTEXT = 2048
 
@@ -39,7 +39,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT,
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
     path = vocabulary or encoding.default_vocabulary()
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, rows_of
+from tallyscope.llm.common import rows_of
 
 #: Fixed lists: elements inside a line of text, those without an end tag, and those whose content is no page text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -313,12 +313,11 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
     text of 0 characters; broken markup is read as browsers do, as far as open elements go; pages are read whole, text in
     elements nested beyond 2,000 levels counts to the last of these. Repeated rows are extracted each.
     """
-    bound_batches(pages.sparkSession, 500)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch, sources in rows_of(batches, "html"):
+        for batch, sources in rows_of(batches, "html", 500):
             texts = [main_text(s, own) for s in sources]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

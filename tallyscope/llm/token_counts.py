@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.llm import encoding
-from tallyscope.llm.common import bound_batches, rows_of
+from tallyscope.llm.common import rows_of
 
 #: Lengths in one block of the running sums.
 BLOCK = 1024
@@ -27,7 +27,6 @@ def encoded_lengths(docs: DataFrame, vocabulary: str | None = None, column: str
     Lengths are tallied for each batch before they leave Python, so a row is (length, documents).
     """
     path = vocabulary or encoding.default_vocabulary()
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import bound_batches, crc32_of_id, release_memory, rows_of, whole
+from tallyscope.llm.common import crc32_of_id, release_memory, rows_of, whole
 
 #: Labelled texts of each class on which the machine is fitted, at most (those first by a digest of their id).
 FIT_TEXTS = 2000
@@ -363,14 +363,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     are scored whole, however long; equal texts score alike; an empty table gives no rows. Columns named `score` or
     `predicted` are replaced.
     """
-    bound_batches(docs.sparkSession, 250)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
         least = own.bias - 1.0
-        for batch, texts in rows_of(batches, "text"):
+        for batch, texts in rows_of(batches, "text", 250):
             bags, new = [], set()
             for text in texts:
                 bag = instances(text) if text else set()
