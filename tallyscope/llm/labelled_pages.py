@@ -54,8 +54,20 @@ def _outside(rng: random.Random, region: str) -> str:
     return f'<{tag}{attribute} data-label="0">{body}</{tag}>'
 
 
+def _inline(rng: random.Random) -> str:
+    """Something named within a line: an advert or a label, or a part of the text."""
+    if rng.random() < 0.4:
+        return f'<{(tag := rng.choice(["span", "ins", "a", "a", "small"]))} {rng.choice(["class", "id"])}="{rng.choice(OUTSIDE[rng.choice(["advert", "advert", "share", "notice"])][1].split())}" data-label="0">{_words(rng, 1, 6)}</{tag}>'
+    return f'<{(tag := rng.choice(["span", "em", "strong", "a", "code", "mark"]))} class="{rng.choice(["highlight", "term", "name", "link", "lead", "first", "quote", "external"])}">{_words(rng, 1, 5)}</{tag}>'
+
+
 def _paragraph(rng: random.Random) -> str:
     kind = rng.random()
+    if kind < 0.16:
+        most = rng.choice([2, 5, 30])
+        return f"<p>{_words(rng, 1, most)} {_inline(rng)} {_words(rng, 0, most)}</p>"
+    if kind < 0.26:
+        return f'<p>{_words(rng, 0, 3)} <a href="/a">{_words(rng, 1, 20)}</a></p>'
     if kind < 0.58:
         text = _words(rng, 1, 90)
         return f"<p>{text}</p>" if rng.random() < 0.7 else f'<p>{text} <a href="/a">{_words(rng, 1, 3)}</a> {_words(rng, 3, 20)}</p>'
@@ -74,9 +86,18 @@ def _paragraph(rng: random.Random) -> str:
     return f"<figure><figcaption>{_words(rng, 3, 12)}</figcaption></figure>"
 
 
-def pages(count: int = 400, seed: int = 3) -> list[str]:
+def pages(count: int = 800, seed: int = 3) -> list[str]:
     """Labelled pages, the same for the same arguments."""
     rng, out = random.Random(seed), []
+    for _ in range(count // 4):  # pages that are nothing but an article, often a short one
+        most = rng.choice([1, 3, 8, 40])
+        text = lambda: _words(rng, 1, most)  # noqa: E731, B023
+        inner = rng.choice(
+            [f"<p>{text()}</p>", f"<div>{text()}</div>", f"<div><p>{text()}</p></div>", f"<ul><li>{text()}</li><li>{text()}</li></ul>", f"<ul><li>{text()}</li></ul>", f"<ol><li>{text()}</li></ol>", text(), f"<h1>{text()}</h1>",
+             f"<section><p>{text()}</p></section>", f"<table><tr><td>{text()}</td></tr></table>", f"<blockquote>{text()}</blockquote>", f"<p>{_words(rng, 0, 2)} <a>{text()}</a></p><p>{text()}</p>", f"<p><a>{text()}</a></p><p>{text()}</p>", f"<pre>{text()}</pre>", f"<dl><dt>{text()}</dt><dd>{text()}</dd></dl>", "".join(_paragraph(rng) for _ in range(rng.randint(1, 4)))]
+        )
+        tag = rng.choice(["article", "main", "div", "section", ""])
+        out.append(f'<html><body data-label="1">{f"<{tag}>{inner}</{tag}>" if tag else inner}</body></html>')
     for _ in range(count):
         before = [r for r in ("header", "menu", "notice", "advert", "form") if rng.random() < 0.5]
         after = [r for r in ("comments", "sidebar", "share", "advert", "form", "notice", "footer") if rng.random() < 0.45]

@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The block elements of a page are the nodes of a tree; each is content or not. A node's evidence are its tag, the words of
-its class, id and role, the share of its text that lies in links and the length of its own text; an edge holds how
+The block elements of a page, and inline ones with a class, id or role, are the nodes of a tree; each is content or not. A node's evidence are its tag, the words of
+its class, id and role, the share of its text that lies in links, the length of its own text and its share of the page's; an edge holds how
 content passes from parent to child. Both are estimated from labelled pages. Sum-product message passing, once upward and
 once downward, gives the exact marginal of every node; text runs of nodes whose marginal is at least one half are kept.
 """
@@ -48,7 +48,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass
 class Node:
-    """A block element: its parent's number, evidence, own text (characters), and the text of its subtree (characters, and
+    """A block or named inline element: its parent's number, evidence, own text (characters), and the text of its subtree (characters, and
     those in links)."""
 
     parent: int
@@ -71,12 +71,29 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
     #: foreign content the nearest foreign element or point of HTML in it
     hidden: list[tuple[str, int, str]] = []
     at, block, links = 0, 0, 0
+    open_, shut = Counter(), Counter()  # how many of each element are in `stack` and in `hidden`
+
+    def opened(tag: str, own: int) -> None:
+        stack.append((tag, own))
+        open_[tag] += 1
+
+    def cut(k: int) -> None:
+        """Take this place of the stack and all within it away."""
+        for tag, _ in stack[k:]:
+            open_[tag] -= 1
+        del stack[k:]
+
+    def reveal(k: int) -> None:
+        """Take this place of what is hidden and all within it away."""
+        for tag, _, _ in hidden[k:]:
+            shut[tag] -= 1
+        del hidden[k:]
 
     def text(raw: str) -> None:
         if not raw:
             return
         if hidden and hidden[-1][0] == "head" and not raw.isspace():
-            hidden.pop()
+            reveal(len(hidden) - 1)
         if hidden:
             return
         value = html.unescape(raw) if "&" in raw else raw
@@ -90,22 +107,27 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
 
     def hide(tag: str) -> None:
         near = hidden[-1][2] if hidden else ""
-        if len(hidden) < 2000:
-            hidden.append((tag, len(stack), tag if tag in FOREIGN or near and tag in POINTS else near))
+        hidden.append((tag, len(stack), tag if tag in FOREIGN or near and tag in POINTS else near))
+        shut[tag] += 1
 
     def show(*tags: str) -> bool:
         """Close the innermost of such elements and all within it."""
+        if not any(shut[t] for t in tags):
+            return False
         for k in range(len(hidden) - 1, -1, -1):
             if hidden[k][0] in tags:
-                del stack[max(hidden[k][1], 1) :], hidden[k:]
+                cut(max(hidden[k][1], 1))
+                reveal(k)
                 return True
         return False
 
     def close(k: int) -> None:
         """Close the block in this place of the stack and all within it."""
-        del stack[k:]
-        while hidden and hidden[-1][1] > k:
-            hidden.pop()
+        cut(k)
+        first = len(hidden)
+        while first and hidden[first - 1][1] > k:
+            first -= 1
+        reveal(first)
 
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -131,25 +153,32 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
             if tag in ("body", "html", "br"):
                 show("head")
             if tag == "optgroup" and hidden and hidden[-1][0] == "option":
-                hidden.pop()
+                reveal(len(hidden) - 1)
             if tag == "a":
                 links = max(links - 1, 0)
-            elif tag in OPAQUE:
+            if tag in OPAQUE:
                 pass
-            elif tag == "p" and not any(t == "p" for t, _ in stack):
+            elif tag == "p" and not open_["p"]:
                 block += 1
             elif tag not in INLINE:
                 block += 1
+                for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
+            elif open_[tag]:  # an inline node ends within its block only
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         close(k)
                         break
+                    if stack[k][0] not in INLINE:
+                        break
             continue
         rest = m.group(5)
         if hidden:
             if hidden[-1][2] in FOREIGN and tag in BREAKOUT:
                 while hidden and hidden[-1][2] in FOREIGN:
-                    hidden.pop()
+                    reveal(len(hidden) - 1)
             if hidden and hidden[-1][2]:
                 if tag not in VOID and not rest.endswith("/"):
                     hide(tag)
@@ -162,7 +191,7 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
             if tag in ENDS_BUTTON:
                 show("button")
             if tag in ("option", "optgroup") and hidden and hidden[-1][0] == "option":
-                hidden.pop()
+                reveal(len(hidden) - 1)
         if tag == "head" and (nodes[0].chars or any(n.tag != "html" for n in nodes[1:4])):
             continue  # the body has begun
         if tag == "a":
@@ -173,20 +202,24 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
             if not rest.endswith("/"):
                 hide(tag)
             continue
-        if tag in INLINE:
-            continue
-        block += 1
         if tag in VOID:
+            block += tag not in INLINE
             continue
-        inside = hidden[-1][1] if hidden else 1  # a start tag closes nothing beyond what hides it
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, inside - 1, -1):
-                if stack[k][0] in _BARRIER[tag]:
-                    break
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-        elif stack[-1][0] == "p" and len(stack) > inside:
-            stack.pop()
+        if tag not in INLINE:
+            block += 1
+            inside = hidden[-1][1] if hidden else 1  # a start tag closes nothing beyond what hides it
+            low = len(stack)
+            while low > inside and stack[low - 1][0] in INLINE:
+                low -= 1
+            if tag in CLOSES:
+                if any(open_[t] for t in CLOSES[tag]):
+                    for k in range(len(stack) - 1, inside - 1, -1):
+                        if stack[k][0] in _BARRIER[tag]:
+                            break
+                        if stack[k][0] in CLOSES[tag]:
+                            cut(k)
+            elif low > inside and stack[low - 1][0] == "p":
+                cut(low - 1)
         words, label = [], None
         for name, value in _NAMES.findall(rest):
             if name.lower() == "data-label":
@@ -194,10 +227,10 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
                     label = int(given)
             else:
                 words.extend(w.lower() for w in _WORD.findall(value))
+        if tag in INLINE and not words and label is None:
+            continue  # without a name of its own it's part of its block
         nodes.append(Node(stack[-1][1], tag, tuple(dict.fromkeys(words)), label=label))
-        stack.append((tag, len(nodes) - 1))
-        if len(stack) > 2000:  # text of deeper elements belongs to those above
-            stack.pop()
+        opened(tag, len(nodes) - 1)
     text(page[at:])
     for node in reversed(nodes[1:]):
         nodes[node.parent].below += node.below
@@ -205,10 +238,12 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Node], list[tuple[int,
     return nodes, runs
 
 
-def evidence(node: Node) -> list[str]:
-    """Features of a node."""
+def evidence(node: Node, whole: int) -> list[str]:
+    """Features of a node of a page with so many characters."""
     share = node.linked / node.below if node.below else 0
-    out = [f"tag {node.tag}", f"tag {node.tag} links {0 if share < 0.2 else 1 if share < 0.6 else 2}", f"chars {min(node.chars.bit_length() // 2, 5)}"]
+    links = 0 if share < 0.2 else 1 if share < 0.6 else 2
+    part = node.below / whole if whole else 0
+    out = [f"tag {node.tag} links {links}", f"chars {min(node.chars.bit_length() // 2, 5)} links {links}", f"part {0 if part < 0.03 else 1 if part < 0.15 else 2 if part < 0.5 else 3}"]
     out += [f"word {w.rstrip('s') if len(w) > 3 else w}" for w in node.words]
     return out
 
@@ -227,7 +262,7 @@ class Model:
         known = self.features.get
         for node in nodes:
             a = b = 0.0
-            for f in evidence(node):
+            for f in evidence(node, nodes[0].below):
                 if (w := known(f)) is not None:
                     a += w[0]
                     b += w[1]
@@ -275,7 +310,7 @@ def train(pages: list[str], smooth: float = 0.5) -> Model:
         labels = labels_of(nodes)
         for k, node in enumerate(nodes):
             totals[labels[k]] += 1
-            for f in evidence(node):
+            for f in evidence(node, nodes[0].below):
                 features[f, labels[k]] += 1
             if k:
                 edge[labels[node.parent], labels[k]] += 1
@@ -310,8 +345,8 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
     """`page_id`, `url`, `text`, `n_chars` of every page, in one narrow pass.
 
     `pages` has `page_id`, `url` and `html`; other columns are ignored. Null, empty and contentless pages give an empty
-    text of 0 characters; broken markup is read as browsers do, as far as open elements go; pages are read whole, text in
-    elements nested beyond 2,000 levels counts to the last of these. Repeated rows are extracted each.
+    text of 0 characters; broken markup is read as browsers do, as far as open elements go; pages are read whole, however
+    deep their elements are nested. Repeated rows are extracted each.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
