@@ -2,21 +2,23 @@
 
 The kernel of two words counts their common subsequences of three and four characters, each weighted by a decay for
 every position that it spans; so words in which an insult is stretched, interrupted or embedded stay near it. Spans
-are bounded, which makes the features of a word few; a word bears marks at its ends. Kernel values are divided by
+are bounded, which makes the features of a word few; a word bears marks at its ends. The machine also learns from virtual examples:
+sure witnesses with characters inserted, doubled or left out. Kernel values are divided by
 the roots of the words' feature masses. Landmark words give the Nystroem map, in which a linear support vector
 machine (squared hinge) is trained. Because the machine is linear in kernel values with the landmarks, its weights fold
 into one table of subsequences, and scoring a word is a sum over its own subsequences.
 
 Labels are of whole texts, so training is multiple-instance, with the distinct words of a whole text as one bag; sentences are
 not told apart. Every word that a clean text holds is a negative instance, and never a positive one; of a toxic text, the other words
-that rank highest, first by log-odds of their stems and then by the current machine, are its witnesses. Hard negatives join in each round. A text's
+that rank highest, first by log-odds of their stems and then by the current machine, are its witnesses, and count by the texts that they
+are witnesses of. Hard negatives join in each round and stay. A text's
 margin is that of its worst word, turned into a probability by a logistic fit.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -28,20 +30,25 @@ from pyspark.sql import functions as F
 from tallyscope.llm.common import crc32_of_id, release_memory, rows_of, whole
 
 #: Labelled texts of each class on which the machine is fitted, at most (those first by a digest of their id).
-FIT_TEXTS = 2000
-LANDMARKS = 320
-DECAY = 0.6
+FIT_TEXTS = 3000
+LANDMARKS = 480
+#: Words in a round, at most: witnesses of toxic texts, random words of clean texts, those of clean texts with the largest margins, and sure witnesses;
+#: and how many virtual examples with one character inserted a sure witness has (of other kinds in proportion).
+POSITIVES, NEGATIVES, HARD, SURE = 4000, 12000, 4000, 160
+VIRTUAL = 16
+DECAY = 0.85
 THRESHOLD = 0.7
-#: Longest piece of a word that is scored at once; longer words are scored in overlapping pieces.
-PIECE = 24
+#: Longest piece of a word that is scored at once, and the step between pieces of longer words: whatever has PIECE - STEP characters
+#: or fewer lies in one of them whole.
+PIECE, STEP = 24, 6
 _CACHE_WORDS = 150_000
 #: Words handled together.
 CHUNK = 8192
 #: Size of the table in which weights are looked up.
 TABLE_BITS = 20
 
-#: Offsets of the bounded subsequences: three characters within five, four within six.
-PATTERNS = [(0, *c) for c in combinations(range(1, 5), 2)] + [(0, *c) for c in combinations(range(1, 6), 3)]
+#: Offsets of the bounded subsequences: three characters within six, four within seven.
+PATTERNS = [(0, *c) for c in combinations(range(1, 6), 2)] + [(0, *c) for c in combinations(range(1, 7), 3)]
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘…–—¿¡"
 
 
@@ -72,7 +79,7 @@ def instances(text: str) -> set[str]:
     long = [w for w in out if len(w) > PIECE]
     for w in long:
         out.discard(w)
-        out.update(w[i : i + PIECE] for i in range(0, len(w), PIECE // 2))
+        out.update(w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP))
     out.discard("")
     return out
 
@@ -169,15 +176,18 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         np.add.at(z, (columns[start : start + len(code)], owner), weight)
         start += len(code)
     z /= mass(landmarks)
-    out = np.zeros((len(words), width))
+    z = z.astype(np.float32)
+    out = np.zeros((len(words), width), np.float32)
     for s in range(0, len(words), 512):
         part = words[s : s + 512]
         for code, owner, weight in features(part):
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             hit = np.flatnonzero(codes[at] == code)
-            np.add.at(out[s : s + len(part)], owner[hit], weight * z[at[hit]])
+            if len(hit):  # owners ascend
+                first = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+                out[s + owner[hit][first]] += np.float32(weight) * np.add.reduceat(z[at[hit]], first, axis=0)
         out[s : s + len(part)] /= mass(part)[:, None]
-    return out
+    return out.astype(np.float64)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -205,15 +215,20 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def _spread(words: list[str], count: int, rng: np.random.Generator) -> list[str]:
-    """A varied choice: each next landmark is the word least like those chosen, among random ones."""
-    pool = [words[i] for i in rng.permutation(len(words))[: 4 * count]]
+def _spread(words: list[str], count: int) -> list[str]:
+    """A varied choice from the first words: one after the other those that none of the chosen is much like, then the least like ones."""
+    pool = words[: 4 * count]
     if len(pool) <= count:
         return pool
     k = _kernel(pool, pool)
     own = np.sqrt(np.maximum(np.diag(k), 1e-9))
     k = k / own[:, None] / own
-    chosen, near = [0], k[:, 0].copy()
+    chosen, near = [], np.zeros(len(pool))
+    for i in range(len(pool)):
+        if len(chosen) < count and near[i] < 0.7:
+            chosen.append(i)
+            near = np.maximum(near, k[:, i])
+    near[chosen] = 9
     while len(chosen) < count:
         nxt = int(near.argmin())
         chosen.append(nxt)
@@ -222,6 +237,29 @@ def _spread(words: list[str], count: int, rng: np.random.Generator) -> list[str]
     return [pool[i] for i in chosen]
 
 
+def _disguised(words: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Virtual examples of words of four letters or more, and the number of the word of each: one or two characters inserted inside,
+    one doubled or trebled, every one doubled, and of longer words one inner one left out."""
+    letters = "".join(sorted({c for w in words for c in w if c.isalpha()})) or "x"
+    out, of = [], []
+
+    def inserted(word: str) -> str:
+        at = int(rng.integers(1, len(word)))
+        return word[:at] + letters[int(rng.integers(len(letters)))] + word[at:]
+
+    for k, word in enumerate(words):
+        if len(word) < 4 or not word.isalpha():
+            continue
+        new = [inserted(word) for _ in range(VIRTUAL)] + [inserted(inserted(word)) for _ in range(2 * VIRTUAL)] + ["".join(c + c for c in word)]
+        for at in rng.permutation(len(word))[: VIRTUAL // 4].tolist():
+            new.append(word[:at] + word[at] * int(rng.integers(2, 4)) + word[at + 1 :])
+        if len(word) > 4:
+            new += [word[: at + 1] + word[at + 2 :] for at in rng.permutation(len(word) - 2)[: VIRTUAL // 2].tolist()]
+        out += new
+        of += [k] * len(new)
+    return out, np.array(of, np.int64)
+
+
 def _stems(words: list[str]) -> np.ndarray:
     """Digests of each word's leading stems and of the whole word; short words repeat the last."""
     import xxhash
@@ -246,13 +284,21 @@ def _seeds(stems: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray])
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
-    """Train on labelled texts. With one class alone the model is constant.
+    """`fit_bags` of whole texts."""
+    return fit_bags(zip(map(instances, texts), labels, strict=True), rounds)
+
+
+def fit_bags(labelled: Iterable[tuple[Iterable[str], int]], rounds: int = 3) -> Model:
+    """Train on the words of labelled texts, taken one text after the other. With one class alone the model is constant.
 
     Texts become arrays of word numbers, so that memory follows the distinct words of the bounded sample. The logistic fit
     uses margins of texts that a first machine, trained on three quarters, hasn't seen; with few texts, those of all.
     """
     number: dict[str, int] = {}
-    bags = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(instances(t))), np.int32) for t in texts]
+    bags, labels = [], []
+    for words, label in labelled:
+        bags.append(np.fromiter((number.setdefault(w, len(number)) for w in sorted(words)), np.int32))
+        labels.append(label)
     vocabulary = list(number)
     del number
     toxic = [b for b, y in zip(bags, labels, strict=True) if y and len(b)]
@@ -262,60 +308,69 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     stems = _stems(vocabulary)
     worst = lambda margin, own: np.array([margin[b].max() for b in own])
     held = toxic[::4], clean[::4]
-    model, margin = None, None
+    model, margin, virtual = None, None, None
     if len(held[0]) >= 5 and len(held[1]) >= 5:
         parts = [[b for i, b in enumerate(own) if i % 4] for own in (toxic, clean)]
-        _, margin = _train(vocabulary, stems, *parts, rounds)
+        _, margin, virtual = _train(vocabulary, stems, *parts, rounds)
         seen = np.concatenate([worst(margin, own) for own in held])
-        model, _ = _train(vocabulary, stems, toxic, clean, rounds)
+        model = _train(vocabulary, stems, toxic, clean, rounds)[0]
     else:
         held = toxic, clean
-        model, margin = _train(vocabulary, stems, toxic, clean, rounds)
+        model, margin, virtual = _train(vocabulary, stems, toxic, clean, rounds)
         seen = np.concatenate([worst(margin, own) for own in held])
-    model.slope, model.shift = _logistic(seen, np.array([1.0] * len(held[0]) + [0.0] * len(held[1])))
-    del bags, vocabulary, stems, toxic, clean, margin
+    model.slope, model.shift = _logistic(seen, np.array([1.0] * len(held[0]) + [0.0] * len(held[1])), virtual)
+    del bags, vocabulary, stems, toxic, clean, margin, virtual
     release_memory()
     return model
 
 
-def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray], rounds: int) -> tuple[Model, np.ndarray]:
-    """The machine, not yet calibrated, and the margins of all words."""
+def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray], rounds: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The machine, not yet calibrated, and the margins of all words and of the last virtual examples."""
     rng = np.random.default_rng(11)
     held = np.bincount(np.concatenate(clean), minlength=len(vocabulary))
-    only_toxic = np.setdiff1d(np.concatenate(toxic), np.flatnonzero(held))
     clean_at = np.flatnonzero(held)
     pick = lambda at: [vocabulary[i] for i in at.tolist()]
     sample = lambda at, n: np.sort(at[rng.permutation(len(at))[:n]])
 
-    def witnesses(rank: np.ndarray, near: float, floor: float) -> np.ndarray:
-        """Of each toxic text, the words that no clean text holds and that rank near its best one."""
+    def witnesses(rank: np.ndarray, near: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each toxic text, the words that no clean text holds and that rank near its best one; those of most texts first, with their texts."""
         out = []
         for bag in toxic:
             new = bag[held[bag] == 0]
             if len(new) and (best := rank[new].max()) > 0:
                 out.append(new[rank[new] >= max(near * best, floor)] if floor <= best else new[[rank[new].argmax()]])
-        return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+        words, texts = np.unique(np.concatenate(out), return_counts=True) if out else (np.empty(0, np.int64),) * 2
+        order = np.argsort(-texts, kind="stable")[:POSITIVES]
+        return words[order], texts[order]
 
-    positive = witnesses(_seeds(stems, toxic, clean), 0.5, 0.0)
+    positive, texts = witnesses(_seeds(stems, toxic, clean), 0.5, 0.0)
     if not len(positive):
-        positive = only_toxic if len(only_toxic) else np.unique(np.concatenate(toxic))
-    positive = sample(positive, 4000)
-    negative = sample(clean_at, 12000)
+        positive = np.unique(np.concatenate(toxic))[:POSITIVES]
+        texts = np.ones(len(positive), np.int64)
+    negative = sample(clean_at, NEGATIVES)
     hard = np.empty(0, np.int64)
     model = None
     for turn in range(rounds):
-        landmarks = _spread(pick(positive), LANDMARKS // 2, rng) + _spread(pick(hard[:400] if len(hard) else negative), LANDMARKS - LANDMARKS // 2, rng)
+        sure = positive[: min(int((texts >= 3).sum()), SURE)]
+        virtual, of = _disguised(pick(sure), rng)
+        landmarks = _spread(pick(positive), LANDMARKS // 3) + _spread([virtual[i] for i in rng.permutation(len(virtual))], LANDMARKS // 3)
+        landmarks += _spread(pick(hard if len(hard) else rng.permutation(negative)), LANDMARKS - len(landmarks))
         k = _kernel(landmarks, landmarks)
         value, vector = np.linalg.eigh((k + k.T) / 2)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        at = np.concatenate((positive, negative, hard))
-        x = np.hstack([_kernel(pick(at), landmarks) @ root, np.ones((len(at), 1))])
-        y = np.where(np.arange(len(at)) < len(positive), 1.0, -1.0)
-        # a word counts as often as the clean texts that hold it, and hard ones in full
-        texts_of = np.minimum(held[at[len(positive) :]], 20).astype(float)
-        texts_of[len(negative) :] *= 4
-        w = _svm(x, y, np.concatenate((np.full(len(positive), 8000 / len(positive)), 32000 * texts_of / texts_of.sum())))
+        at = np.concatenate((negative, hard))
+        words = pick(positive) + virtual + pick(at)
+        n = len(positive) + len(virtual)
+        x = np.hstack([_kernel(words, landmarks) @ root, np.ones((len(words), 1))])
+        y = np.where(np.arange(len(words)) < n, 1.0, -1.0)
+        # a word counts as often as the texts that hold it, and hard ones in full
+        toxic_texts = np.minimum(texts, 20).astype(float)
+        virtual_texts = toxic_texts[of]
+        clean_texts = np.minimum(held[at], 20).astype(float)
+        clean_texts[len(negative) :] *= 20
+        cost = [6000 * toxic_texts / toxic_texts.sum(), 18000 * virtual_texts / max(virtual_texts.sum(), 1), 150000 * clean_texts / clean_texts.sum()]
+        w = _svm(x, y, np.concatenate(cost))
         codes, place = np.unique(np.concatenate([c for c, _, _ in features(landmarks)]), return_inverse=True)
         table, start, scale = np.zeros(len(codes)), 0, root @ w[:-1] / mass(landmarks)
         for code, owner, weight in features(landmarks):
@@ -323,37 +378,49 @@ def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], cl
             start += len(code)
         model = Model(codes, table.astype(np.float32), float(w[-1]), 1.0, 0.0)
         margin = model.margins(vocabulary)
-        order = clean_at[np.argsort(-margin[clean_at], kind="stable")[:4000]]
-        hard = order[margin[order] > -0.7]
+        order = clean_at[np.argsort(-margin[clean_at], kind="stable")[:HARD]]
+        now = order[margin[order] > -0.7]
+        hard = np.concatenate((now, hard[~np.isin(hard, now)]))[:HARD]
         if turn + 1 < rounds:
             again = witnesses(margin, 0.0, 0.5)
-            positive = sample(again, 4000) if len(again) else positive
-    return model, margin
+            positive, texts = again if len(again[0]) else (positive, texts)
+    return model, margin, model.margins(virtual)
 
 
-def _logistic(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of labels to margins, its crossing of THRESHOLD where errors are fewest; of equal places the middle."""
+def _logistic(margin: np.ndarray, truth: np.ndarray, virtual: np.ndarray) -> tuple[float, float]:
+    """Logistic fit of labels to margins, its crossing of THRESHOLD where errors are fewest: texts on the wrong side, and the share
+    of virtual examples missed, as much as a fortieth of the toxic texts; of equal places the lower middle."""
     cuts = np.unique(np.clip(margin, -1.5, 1.5))
     cuts = np.concatenate(([cuts[0] - 0.1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 0.1]))
     order = np.sort(margin[truth == 1]), np.sort(margin[truth == 0])
     missed, false = np.searchsorted(order[0], cuts), len(order[1]) - np.searchsorted(order[1], cuts)
     cost = missed + false
-    best = cuts[cost == cost.min()]
-    cut = float(np.clip((best.min() + best.max()) / 2, 0.5, 0.85))  # within the machine's margin, on the toxic side
+    if len(virtual):
+        cost = cost + len(order[0]) / 40 * np.searchsorted(np.sort(virtual), cuts) / len(virtual)
+    best = cuts[cost <= cost.min() + 0.05]
+    cut = float(np.clip(best.min() + (best.max() - best.min()) / 4, 0.2, 0.85))
     slope = 6.0
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: rows whose crc32 of the id modulo 3 isn't 1, FIT_TEXTS of each class at most."""
+def training_bags(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[list[str], int]]:
+    """The distinct words and the label of each text of a bounded sample of labelled rows: those whose crc32 of the id modulo 3 isn't 1,
+    FIT_TEXTS of each class at most. Texts are reduced to words by the executors; the driver takes one partition after the other."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc32_of_id(F.col("doc_id")) % 3 != 1)
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id")).limit(FIT_TEXTS)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").orderBy(F.xxhash64("text"), "toxic")
-    got = rows.limit(4 * FIT_TEXTS).collect()
-    return [r.text for r in got], [r.toxic for r in got]
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows_of(batches, "text", 100):
+            words = [sorted(instances(t)) if t else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["digest", "toxic", "words"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("digest"), F.col("toxic").cast("int").alias("toxic"), "text")
+    bags = rows.mapInArrow(reduce, "digest bigint, toxic int, words array<string>").orderBy("digest", "toxic").limit(4 * FIT_TEXTS)
+    for row in bags.toLocalIterator():
+        yield row.words, row.toxic
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -393,7 +460,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the machine, trained on labelled rows among them, doesn't call toxic."""
-    model = fit(*training_rows(docs, labels))
+    model = fit_bags(training_bags(docs, labels))
     return score(docs.select(whole(docs), "text"), model).filter("predicted = 0").select("_row.*")
 
 
