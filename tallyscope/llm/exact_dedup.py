@@ -2,8 +2,8 @@
 
 Documents are reduced to a compact landing table (digest of the normalised text, stable identifier, length
 and row locator). A Structured Streaming query reads that table and keeps, for each digest, the best row and
-the number of rows in disk-backed (RocksDB) keyed state that never expires; new files of a later run meet the
-state of earlier ones if both name the same checkpoint folder. Rows are combined before they are shuffled, so
+the number of rows in disk-backed (RocksDB) keyed state that never expires. A folder named by `checkpoint` keeps rows, landing table
+and state of all runs, so that the documents of a later run meet those of earlier ones. Rows are combined before they are shuffled, so
 a hot group costs one row for each task. Digests seen more than once are hits: for these the locators lead back
 to the texts, whose full bytes are compared; should they differ under one digest, the rows are grouped by text.
 """
@@ -92,22 +92,36 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, checkpo
     `docs` is a table scan with `doc_id` and `text`; other columns are ignored. Null texts equal empty ones and
     texts of white space alone. Of equal texts the row with the most code points stays, then the smallest
     `doc_id` (null last), then the first row, so of fully repeated rows one stays. An empty table gives no rows.
+    With a `checkpoint` folder the groups include the documents of all earlier runs that named it; each call adds its documents once.
     """
-    return _decide(numbered(docs.select("doc_id", "text"), "numbered"), digest, checkpoint)
-
-
-def _decide(rows: DataFrame, digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None) -> DataFrame:
-    """`decide` of a `numbered` table."""
+    if checkpoint is None:
+        return _decide(numbered(docs.select("doc_id", "text"), "numbered"), digest)
+    spark, folder = docs.sparkSession, checkpoint.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    landing = jvm.org.apache.hadoop.fs.Path(f"{folder}/landing")
+    first = 0
+    if landing.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(landing):
+        first = (spark.read.parquet(f"{folder}/landing").agg(F.max("_rid")).first()[0] or -1) + 1
+    rows = with_row_id(docs.select("doc_id", "text")).select((F.col("_rid") + first).alias("_rid"), F.struct("doc_id", "text").alias("_row"))
+    path = f"{folder}/rows/from={first}"
+    rows.write.option("compression", "zstd").parquet(path)
+    new, every = (spark.read.schema(rows.schema).parquet(x) for x in (path, f"{folder}/rows/from=*"))
+    return _decide(new, digest, folder, first, every)
+
+
+def _decide(rows: DataFrame, digest: Callable[[Column], Column] = sha256, folder: str | None = None, first: int = 0, every: DataFrame | None = None) -> DataFrame:
+    """`decide` of a `numbered` table, the rows from `first` on among `every`, whose landing table and state are in the folder."""
     spark = rows.sparkSession
-    path = scratch_path(spark, "landing")
-    read = rows.select("_rid", "_row.doc_id", "_row.text")
-    compact = _landing_rows(read, digest)
-    compact.write.option("compression", "zstd").parquet(path)
-    landing = spark.read.schema(compact.schema).parquet(path)
+    folder, every = folder or scratch_path(spark, "dedup"), rows if every is None else every
+    path = f"{folder}/landing"
+    compact = _landing_rows(rows.select("_rid", "_row.doc_id", "_row.text"), digest)
+    compact.write.mode("append").option("compression", "zstd").parquet(path)
+    landing = spark.read.schema(compact.schema).parquet(path).filter(F.col("_rid") >= first)
     if landing.isEmpty():
         return landing.select("_rid", "doc_id", F.lit(None).cast("bigint").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    state = staged(stream_state(landing, path, checkpoint or scratch_path(spark, "state"), scratch_path(spark, "batches")), "groups")
+    state = staged(stream_state(landing, path, f"{folder}/state", scratch_path(spark, "batches")), "groups")
 
+    read = every.select("_rid", "_row.doc_id", "_row.text")
     hits = state.filter("group_size > 1").select("digest")
     texts = read.select("_rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), normalised(F.col("text")).alias("t")).withColumn("digest", digest(F.col("t")))
     met = texts.join(sized(hits), "digest", "left_semi")
@@ -118,7 +132,7 @@ def _decide(rows: DataFrame, digest: Callable[[Column], Column] = sha256, checkp
     else:
         apart = texts.join(differ, "digest", "left_semi")
         groups = apart.groupBy("digest", "t").agg(*_best())
-        joined = landing.join(differ, "digest", "left_anti").join(state, "digest").unionByName(apart.join(groups, ["digest", "t"]).drop("t"))
+        joined = landing.join(differ, "digest", "left_anti").join(state, "digest").unionByName(apart.filter(F.col("_rid") >= first).join(groups, ["digest", "t"]).drop("t"))
     keep = -F.col("best.i")
     return joined.select(
         "_rid",
