@@ -3,7 +3,7 @@
 Four kinds of evidence meet in one posterior for each page: the likelihood of its text under character trigram models
 (trained on labelled documents), the language its markup declares, the language that its address names (a path segment,
 a leading host label or a country suffix), and a prior of its host. How far declarations and addresses are to be trusted is
-estimated from all pages by grouped aggregation against what the texts alone say; host priors are smoothed towards the
+estimated from all other pages by grouped aggregation against what the texts alone say; host priors are smoothed towards the
 registered domain's, and these towards the corpus, so that a host with few pages borrows from its domain.
 """
 
@@ -16,13 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import rows_of, sized, staged
 
 #: Labelled documents of each language on which the text models are fitted, at most.
 FIT_DOCS = 400
+#: Languages that have a text model, at most (those of most documents).
+MOST_LANGUAGES = 100
 BUCKETS = 1 << 16
 #: Trigrams of a text beyond which its likelihood counts as that of so many; neighbouring trigrams aren't independent.
 WORTH = 60.0
@@ -66,14 +68,16 @@ class TextModel:
 def train_text(docs: DataFrame) -> TextModel:
     """Fit the trigram models on at most FIT_DOCS whole documents of each language (`text`, `lang`); rows with nulls are left out."""
     rows = docs.filter("text is not null and lang is not null").select("doc_id", "lang", "text")
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    most = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES)
+    languages = sorted(r.lang for r in most.collect())
     ids = None
-    for lang in languages:
-        part = rows.filter(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-        ids = part if ids is None else ids.union(part)
+    if languages:
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+        known = rows.select("doc_id", "lang").join(F.broadcast(most.select("lang")), "lang", "left_semi")
+        ids = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= FIT_DOCS).select("doc_id", "lang")
     table = np.full((BUCKETS, max(len(languages), 1)), 0.5)
     if ids is not None:
-        chosen = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+        chosen = rows.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")  # FIT_DOCS * MOST_LANGUAGES at most
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}
@@ -98,8 +102,8 @@ def _host(url: Column) -> Column:
 
 
 def _domain(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered part of a host: its last two labels, or three where the second last is a common one below a country."""
+    return F.when(host.rlike(r"\.(co|com|org|net|ac|edu|gov|or|ne|go|gob|gouv)\.[a-z]{2}$"), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def _address(url: Column, host: Column, languages: list[str]) -> Column:
@@ -148,28 +152,27 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
 
     if not size:
         return rows.select("page_id", "url", "host", "declared", "address", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), "text_p")
-    corpus = _normal(F.transform("n", lambda x: x + 1))
-    whole = tally().select(F.coalesce(corpus, F.array(*[F.lit(1.0 / size)] * size)).alias("p")).first()
-    base = F.array(*[F.lit(x) for x in whole.p])
-    towards = lambda prior: F.transform(F.col("n"), lambda x, i: (x + F.get(prior, i) * PULL) / (F.col("pages") + PULL))
+    # a page's own text never counts as evidence of its host, domain, declaration or address: sums are taken without it
+    whole = tally().select("n", "pages").first()
+    totals, pages_all = [float(x or 0) for x in (whole.n or [0] * size)], float(whole.pages or 0)
+    own = lambda i: F.get("text_p", i)
+    less = lambda n, i: F.greatest(n - own(i), F.lit(0.0))
+    base = F.transform(F.array(*map(F.lit, totals)), lambda x, i: (less(x, i) + 1) / F.lit(max(pages_all - 1, 0) + size))
     hosts = staged(tally("host", "domain"), "hosts")
-    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(size)]).alias("n"), F.sum("pages").alias("pages")).select("domain", towards(base).alias("domain_p"))
-    priors = hosts.join(domains, "domain").select("host", towards(F.col("domain_p")).alias("prior"))
-
-    def trust(key: str) -> DataFrame:
-        """P(value | language) for each value of an evidence, with add-one smoothing; a narrow table."""
-        counts = tally(key)
-        kinds = counts.count()
-        totals = counts.agg(*[F.sum(F.get("n", F.lit(k))).alias(f"t{k}") for k in range(size)]).first()
-        parts = [(F.get("n", F.lit(k)) + 1) / F.lit(float((totals[k] or 0) + max(kinds, 1))) for k in range(size)]
-        return counts.select(F.col(key).alias(f"_{key}"), F.array(*parts).alias(f"{key}_p"))
-
-    out = rows
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(size)]).alias("domain_n"), F.sum("pages").alias("domain_pages"))
+    about = hosts.join(domains, "domain").select(F.col("host").alias("_host"), F.col("n").alias("host_n"), F.col("pages").alias("host_pages"), "domain_n", "domain_pages")
+    towards = lambda n, pages, prior: F.transform(n, lambda x, i: (less(x, i) + F.get(prior, i) * PULL) / (F.col(pages) - 1 + PULL))
+
+    out, given = rows, {}
     for key in ("declared", "address"):
-        known = sized(staged(trust(key), key))
-        out = out.join(known, F.col(key) == F.col(f"_{key}")).drop(f"_{key}")
-    out = out.join(sized(staged(priors, "priors").withColumnRenamed("host", "_host")), F.col("host") == F.col("_host")).drop("_host")
-    product = F.transform("text_p", lambda x, i: (x + 1e-12) * F.get("declared_p", i) * F.get("address_p", i) * F.get("prior", i))
+        counts = staged(tally(key).select(F.col(key).alias(f"_{key}"), F.col("n").alias(f"{key}_n")), key)
+        kinds = max(counts.count(), 1)
+        out = out.join(sized(counts), F.col(key) == F.col(f"_{key}")).drop(f"_{key}")
+        # P(value | language) with add-one smoothing
+        given[key] = lambda i, n=f"{key}_n", kinds=kinds: (less(F.get(n, i), i) + 1) / (less(F.get(F.array(*map(F.lit, totals)), i), i) + kinds)
+    out = out.join(sized(staged(about, "priors")), F.col("host") == F.col("_host")).drop("_host")
+    out = out.withColumn("base_p", base).withColumn("domain_p", towards(F.col("domain_n"), "domain_pages", F.col("base_p"))).withColumn("prior", towards(F.col("host_n"), "host_pages", F.col("domain_p")))
+    product = F.transform("text_p", lambda x, i: (x + 1e-12) * given["declared"](i) * given["address"](i) * F.get("prior", i))
     out = out.withColumn("probabilities", _normal(product))
     label = lambda i: F.element_at(F.array(*map(F.lit, names)), i)
     return out.select(
