@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.llm import encoding
-from tallyscope.llm.common import rows_of
+from tallyscope.llm.common import rows_of, staged
 
 #: Lengths in one block of the running sums.
 BLOCK = 1024
@@ -47,13 +47,9 @@ def histogram(docs: DataFrame, vocabulary: str | None = None, column: str = "tex
     tokens), `total_docs`, `total_tokens`. Null and empty texts have length 0; repeated rows count each time;
     an empty table gives no rows; other columns are ignored.
     """
-    counts = (
-        encoded_lengths(docs, vocabulary, column)
-        .groupBy("length")
-        .agg(F.sum("n").alias("n_docs"))
-        .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
-        .withColumn("block", F.expr(f"length div {BLOCK}"))
-    )
+    # written once: two branches read it, and the texts are encoded once
+    tallies = staged(encoded_lengths(docs, vocabulary, column).groupBy("length").agg(F.sum("n").alias("n_docs")), "lengths")
+    counts = tallies.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.expr(f"length div {BLOCK}"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = (
