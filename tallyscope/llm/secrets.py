@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least log-likelihood ratio, in thousandths of a nat, of a random string.
 RATIO = 8000
+#: Matches in one block of the sums of lengths.
+STEP = 256
 
 
 def samples(spark: SparkSession, texts: DataFrame, count: int = 4096) -> DataFrame:
@@ -91,19 +93,33 @@ def train(labelled: DataFrame) -> list[int]:
     return out
 
 
-def _starts(pieces: Column, matches: Column) -> Column:
-    """Code points before each match: the texts between matches and the matches before it."""
-    total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    return F.transform(matches, lambda _, i: total(pieces, i + 1) + total(matches, i))
+def _placed(rows: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """For each column of matches of a pattern: adds an array of their first code points, named `<column>_at`.
 
-
-def _spans(text: Column, pattern: str, matches: Column, kind: int, keep) -> Column:
-    """Spans of those matches that `keep(match, index)` accepts; texts without matches are not searched again."""
-    empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    starts = _starts(F.split(text, pattern, -1), matches)
-    spans = F.transform(F.arrays_zip(matches.alias("m"), starts.alias("s")), lambda x, i: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), keep(x["m"], i).alias("ok")))
-    kept = F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return F.when(F.size(matches) > 0, kept).otherwise(empty)
+    A match starts after the texts between matches and the matches before it. These lengths are summed in blocks of STEP, so
+    the work grows with the matches' number, not its square; each step is a projection of its own, so nothing is computed twice.
+    """
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    lengths = lambda parts: F.transform(parts, lambda x: F.length(x).cast("long"))
+    none = F.expr("cast(array() as array<bigint>)")
+    some = lambda c, x: F.when(F.size(c) > 0, x).otherwise(none)
+    blocks = lambda c: F.sequence(F.lit(0), F.floor((F.size(c) - 1) / STEP).cast("int"))
+    out = rows.withColumns({f"{c}_gap": some(c, lengths(F.split(text, p, -1))) for c, p in patterns.items()})
+    out = out.withColumns({f"{c}_both": some(c, F.zip_with(F.slice(f"{c}_gap", F.lit(1), F.size(c)), lengths(F.col(c)), lambda x, y: x + y)) for c in patterns})
+    sums = lambda c: F.transform(blocks(c), lambda k: total(F.slice(c, k * STEP + 1, F.lit(STEP))))
+    before = lambda c: F.transform(c, lambda _, k: total(F.slice(c, F.lit(1), k)))
+    out = out.withColumns({f"{c}_sum": some(f"{c}_both", sums(f"{c}_both")) for c in patterns})
+    out = out.withColumns({f"{c}_before": some(f"{c}_sum", before(f"{c}_sum")) for c in patterns})
+    block = lambda i: F.floor(i / STEP).cast("int")
+    at = lambda c: F.transform(f"{c}_both", lambda _, i: F.get(f"{c}_before", block(i)) + total(F.slice(f"{c}_both", block(i) * STEP + 1, i % STEP)) + F.get(f"{c}_gap", i))
+    out = out.withColumns({f"{c}_at": some(f"{c}_both", at(c)) for c in patterns})
+    return out.drop(*[f"{c}_{part}" for c in patterns for part in ("gap", "both", "sum", "before")])
+
+
+def _spans(column: str, kind: int, keep) -> Column:
+    """Spans of those matches that `keep(match, index)` accepts."""
+    spans = F.transform(F.arrays_zip(F.col(column).alias("m"), F.col(f"{column}_at").alias("s")), lambda x, i: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), keep(x["m"], i).alias("ok")))
+    return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
 
 def _joined(spans: Column) -> Column:
@@ -134,15 +150,12 @@ def find(docs: DataFrame, weights: list[int], least: int = RATIO) -> DataFrame:
     mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")
     found = found.withColumn("_value", F.when(F.size("_assign") > 0, values))
     found = found.withColumn("_run", F.when(F.exists("_run", mixed), F.col("_run")).otherwise(F.expr("cast(array() as array<string>)")))
+    found = _placed(found, text, {"_assign": ASSIGN, "_access": ACCESS, "_hex": HEX, "_run": RUN})
     always = lambda m, i: F.lit(True)
-    base = F.concat(
-        _spans(text, ASSIGN, F.col("_assign"), 0, lambda m, i: F.length(F.get(F.col("_value"), i)) >= ASSIGN_LEAST),
-        _spans(text, ACCESS, F.col("_access"), 1, always),
-        _spans(text, HEX, F.col("_hex"), 2, always),
-    )
-    runs = _spans(text, RUN, F.col("_run"), 3, lambda m, i: mixed(m) & (ratio(m, table) >= least))
+    base = F.concat(_spans("_assign", 0, lambda m, i: F.length(F.get(F.col("_value"), i)) >= ASSIGN_LEAST), _spans("_access", 1, always), _spans("_hex", 2, always))
+    runs = _spans("_run", 3, lambda m, i: mixed(m) & (ratio(m, table) >= least))
     spans = found.withColumns({"base": base, "_runs": runs})
-    apart = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    apart = F.when(F.size("_runs") > 0, F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))).otherwise(F.col("_runs"))
     own = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("base", "added")]
     return spans.withColumn("added", apart).select(*own, "base", "added")
 
