@@ -57,9 +57,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def sized(df: DataFrame) -> DataFrame:
     """Mark a narrow table for broadcasting if its bytes, counted, are few; else Spark shuffles both sides."""
-    fixed = sum(8 for f in df.schema.fields if f.dataType.typeName() != "string") + 24
-    strings = [F.length(c.name) + 32 for c in df.schema.fields if c.dataType.typeName() == "string"]
-    width = sum(map(F.coalesce, strings, [F.lit(0)] * len(strings)), F.lit(fixed))
+    kinds = [(F.col(f"`{f.name}`"), f.dataType.typeName()) for f in df.schema.fields]
+    varying = [F.length(c) + 32 if k in ("string", "binary") else F.size(c) * 8 + 32 for c, k in kinds if k in ("string", "binary", "array")]
+    width = sum((F.coalesce(c, F.lit(0)) for c in varying), F.lit(24 + 8 * (len(kinds) - len(varying))))
     size = df.agg(F.sum(width)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 

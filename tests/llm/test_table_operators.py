@@ -310,6 +310,19 @@ def vectors_of(spark, rows):
     return df.withColumns({"dist": F.lit(1), "pivot": F.lit(2), "v": F.lit("x")})
 
 
+def test_exact_dedup_across_runs(spark, tmp_path):
+    """Two runs that name one folder: the second one's documents meet those of the first, full texts included."""
+    first = [(1, "a b", "x"), (2, "c", "x"), (2, "c", "x"), (None, None, None)]
+    second = [(3, " a  b ", "x"), (4, "new", "x"), (0, "c", "x"), (9, "", "x")]
+    run = lambda rows, digest=exact_dedup.sha256, name="kept": {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.decide(docs_of(spark, rows), digest, f"{tmp_path}/{name}").collect()}
+    assert run(first) == {(1, 1, 1, True), (2, 2, 2, True), (2, 2, 2, False), (None, None, 1, True)}
+    assert run(second) == {(3, 3, 2, True), (4, 4, 1, True), (0, 0, 3, True), (9, 9, 2, True)}
+    assert run([(5, "ab", "x")]) == {(5, 3, 3, False)}
+    same = lambda text: F.lit("one")
+    run(first, same, "colliding")
+    assert run(second, same, "colliding") == {(3, 3, 2, True), (4, 4, 1, True), (0, 0, 3, True), (9, 9, 2, True)}
+
+
 def brute_topk(rows, k=5, every=50):
     good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
