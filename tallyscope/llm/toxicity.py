@@ -20,14 +20,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import crc32_of_id, release_memory, rows_of, whole
+from tallyscope.llm.common import crc32_of_id, release_memory, rows_of, staged, whole
 
 #: Labelled texts of each class on which the machine is fitted, at most (those first by a digest of their id).
 FIT_TEXTS = 3000
@@ -194,24 +194,25 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Linear squared-hinge machine by Newton steps; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
+    margins = lambda v: np.concatenate([x[s : s + 4096].astype(np.float64) @ v for s in range(0, len(x), 4096)])
+    value = lambda v, f: 0.5 * v @ v + (cost * np.maximum(1 - y * f, 0) ** 2).sum()
+    f = margins(w)
     for _ in range(30):
-        gap = 1 - y * (x @ w)
+        gap = 1 - y * f
         on = np.flatnonzero(gap > 0)
         grad, curve = w.copy(), ridge.copy()
         for s in range(0, len(on), 2048):
             at = on[s : s + 2048]
-            part = x[at]
+            part = x[at].astype(np.float64)
             grad -= 2 * part.T @ (cost[at] * y[at] * gap[at])
             curve += 2 * (part * cost[at, None]).T @ part
         if np.abs(grad).max() < 1e-6:
             break
         step = np.linalg.solve(curve, grad)
-        t = 1.0
-        value = lambda v: 0.5 * v @ v + (cost * np.maximum(1 - y * (x @ v), 0) ** 2).sum()
-        now = value(w)
-        while value(w - t * step) > now and t > 1e-4:
+        t, now = 1.0, value(w, f)
+        while value(w - t * step, g := margins(w - t * step)) > now and t > 1e-4:
             t /= 2
-        w = w - t * step
+        w, f = w - t * step, g
     return w
 
 
@@ -362,7 +363,9 @@ def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], cl
         at = np.concatenate((negative, hard))
         words = pick(positive) + virtual + pick(at)
         n = len(positive) + len(virtual)
-        x = np.hstack([_kernel(words, landmarks) @ root, np.ones((len(words), 1))])
+        x = np.ones((len(words), root.shape[1] + 1), np.float32)
+        for s in range(0, len(words), 2048):
+            x[s : s + 2048, :-1] = _kernel(words[s : s + 2048], landmarks) @ root
         y = np.where(np.arange(len(words)) < n, 1.0, -1.0)
         # a word counts as often as the texts that hold it, and hard ones in full
         toxic_texts = np.minimum(texts, 20).astype(float)
@@ -371,6 +374,7 @@ def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], cl
         clean_texts[len(negative) :] *= 20
         cost = [6000 * toxic_texts / toxic_texts.sum(), 18000 * virtual_texts / max(virtual_texts.sum(), 1), 150000 * clean_texts / clean_texts.sum()]
         w = _svm(x, y, np.concatenate(cost))
+        del x
         codes, place = np.unique(np.concatenate([c for c, _, _ in features(landmarks)]), return_inverse=True)
         table, start, scale = np.zeros(len(codes)), 0, root @ w[:-1] / mass(landmarks)
         for code, owner, weight in features(landmarks):
@@ -418,8 +422,8 @@ def training_bags(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[list[str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["digest", "toxic", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("digest"), F.col("toxic").cast("int").alias("toxic"), "text")
-    bags = rows.mapInArrow(reduce, "digest bigint, toxic int, words array<string>").orderBy("digest", "toxic").limit(4 * FIT_TEXTS)
-    for row in bags.toLocalIterator():
+    bags = staged(rows.mapInArrow(reduce, "digest bigint, toxic int, words array<string>"), "bags").orderBy("digest", "toxic")
+    for row in islice(bags.toLocalIterator(), 4 * FIT_TEXTS):
         yield row.words, row.toxic
 
 
