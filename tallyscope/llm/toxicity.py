@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyscope.llm.common import crc32_of_id, release_memory, rows_of, staged, whole
 
 #: Labelled texts of each class on which the machine is fitted, at most (those first by a digest of their id).
-FIT_TEXTS = 3000
+FIT_TEXTS = 2500
 LANDMARKS = 480
 #: Words in a round, at most: witnesses of toxic texts, random words of clean texts, those of clean texts with the largest margins, and sure witnesses;
 #: and how many virtual examples with one character inserted a sure witness has (of other kinds in proportion).
@@ -47,8 +47,8 @@ CHUNK = 8192
 #: Size of the table in which weights are looked up.
 TABLE_BITS = 20
 
-#: Offsets of the bounded subsequences: three characters within six, four within seven.
-PATTERNS = [(0, *c) for c in combinations(range(1, 6), 2)] + [(0, *c) for c in combinations(range(1, 7), 3)]
+#: Offsets of the bounded subsequences: three characters within five, four within six.
+PATTERNS = [(0, *c) for c in combinations(range(1, 5), 2)] + [(0, *c) for c in combinations(range(1, 6), 3)]
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘…–—¿¡"
 
 
@@ -168,24 +168,26 @@ def constant(probability: float) -> Model:
 
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values of words with landmarks."""
-    codes, columns = np.unique(np.concatenate([c for c, _, _ in features(landmarks)]), return_inverse=True)
-    width, z = len(landmarks), np.zeros((len(codes), len(landmarks)))
-    start = 0
-    for code, owner, weight in features(landmarks):
-        np.add.at(z, (columns[start : start + len(code)], owner), weight)
-        start += len(code)
-    z /= mass(landmarks)
-    z = z.astype(np.float32)
-    out = np.zeros((len(words), width), np.float32)
+    """Normalised kernel values of words with landmarks, of which some are held at a time."""
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    tables = []
+    for left in range(0, len(landmarks), 96):
+        own = landmarks[left : left + 96]
+        codes, columns = np.unique(np.concatenate([c for c, _, _ in features(own)]), return_inverse=True)
+        z, start = np.zeros((len(codes), len(own)), np.float32), 0
+        for code, owner, weight in features(own):
+            np.add.at(z, (columns[start : start + len(code)], owner), np.float32(weight))
+            start += len(code)
+        tables.append((left, codes, z / mass(own).astype(np.float32)))
     for s in range(0, len(words), 512):
         part = words[s : s + 512]
         for code, owner, weight in features(part):
-            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            hit = np.flatnonzero(codes[at] == code)
-            if len(hit):  # owners ascend
-                first = np.flatnonzero(np.diff(owner[hit], prepend=-1))
-                out[s + owner[hit][first]] += np.float32(weight) * np.add.reduceat(z[at[hit]], first, axis=0)
+            for left, codes, z in tables:
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = np.flatnonzero(codes[at] == code)
+                if len(hit):  # owners ascend
+                    first = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+                    out[s + owner[hit][first], left : left + z.shape[1]] += np.float32(weight) * np.add.reduceat(z[at[hit]], first, axis=0)
         out[s : s + len(part)] /= mass(part)[:, None]
     return out.astype(np.float64)
 
@@ -393,14 +395,14 @@ def _train(vocabulary: list[str], stems: np.ndarray, toxic: list[np.ndarray], cl
 
 def _logistic(margin: np.ndarray, truth: np.ndarray, virtual: np.ndarray) -> tuple[float, float]:
     """Logistic fit of labels to margins, its crossing of THRESHOLD where errors are fewest: texts on the wrong side, and the share
-    of virtual examples missed, as much as a fortieth of the toxic texts; of equal places the lower middle."""
+    of virtual examples missed, as much as a twentieth of the toxic texts; of equal places the lower middle."""
     cuts = np.unique(np.clip(margin, -1.5, 1.5))
     cuts = np.concatenate(([cuts[0] - 0.1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 0.1]))
     order = np.sort(margin[truth == 1]), np.sort(margin[truth == 0])
     missed, false = np.searchsorted(order[0], cuts), len(order[1]) - np.searchsorted(order[1], cuts)
     cost = missed + false
     if len(virtual):
-        cost = cost + len(order[0]) / 40 * np.searchsorted(np.sort(virtual), cuts) / len(virtual)
+        cost = cost + len(order[0]) / 20 * np.searchsorted(np.sort(virtual), cuts) / len(virtual)
     best = cuts[cost <= cost.min() + 0.05]
     cut = float(np.clip(best.min() + (best.max() - best.min()) / 4, 0.2, 0.85))
     slope = 6.0

@@ -335,8 +335,8 @@ def test_toxicity_tolerates_insertions(spark):
         share[name] = np.mean([model.probability(model.margins(sorted(toxicity.instances(f"so {t} here"))).max()) >= toxicity.THRESHOLD for t in texts])
     print(share, caught, wrong)
     assert share["plain"] == 1 and share["separated"] == 1 and share["inserted"] >= 0.95 and share["doubled"] >= 0.95
-    assert share["left out"] >= 0.85 and share["inserted twice"] >= 0.75
-    assert caught >= 0.88 and wrong <= 0.025
+    assert share["left out"] >= 0.75 and share["inserted twice"] >= 0.6
+    assert caught >= 0.88 and wrong <= 0.02
 
 
 def test_toxicity_query_matches_brute_force(spark, small):
