@@ -79,3 +79,10 @@ def load_protocol(text: str) -> Protocol:
     if recorded != canonical_digest(body):
         raise ValueError("the protocol's digest doesn't match its body")
     return Protocol(body["temporal"], body["spatial"], body["fused"], body["weight"], tuple(body["temporal_reference"]), tuple(body["spatial_reference"]))
+
+
+def changed_clips(rows: DataFrame, a: str, b: str, stratum: str) -> DataFrame:
+    """Of each stratum the clips that only one of two candidates decides for, sorted: `only_a`, `only_b`, `clips` (L7). The lists hold
+    an evaluation set's few changes."""
+    only = lambda yes, no: F.sort_array(F.collect_list(F.when(F.col(yes) & ~F.col(no), F.col("clip"))))
+    return rows.groupBy(stratum).agg(only(a, b).alias("only_a"), only(b, a).alias("only_b"), F.count(F.lit(1)).alias("clips"))

@@ -81,6 +81,17 @@ def alarm_quantiles(alarms: DataFrame, time: str = "time_to_alarm_seconds", qs:
     return out.select("true_label", "clips", "alarmed", *[F.when(F.col(f"q{round(q * 100)}") < float("inf"), F.col(f"q{round(q * 100)}")).alias(f"q{round(q * 100)}") for q in qs])
 
 
+#: Rows of an evaluation sample that may come to the driver; for larger ones, `resampling` draws and aggregates without collecting.
+SAMPLE_ROWS = 1_000_000
+
+
+def _sample(rows: DataFrame, order: list[str]) -> pd.DataFrame:
+    """A sorted evaluation sample of a counted size."""
+    if rows.limit(SAMPLE_ROWS + 1).count() > SAMPLE_ROWS:
+        raise ValueError(f"an evaluation sample of more than {SAMPLE_ROWS} rows isn't broadcast")
+    return rows.orderBy(*order).toPandas()
+
+
 Statistic = Callable[[np.ndarray, np.ndarray], float | None]
 
 
@@ -105,7 +116,7 @@ def bootstrap(rows: DataFrame, statistic: Statistic, resamples: int = 10000, con
     Undefined statistics are discarded and counted.
     """
     columns = [truth, score] + ([cluster] if cluster else [])
-    sample = rows.select(*columns).orderBy(*columns).toPandas()
+    sample = _sample(rows.select(*columns), columns)
     t, s = sample[truth].to_numpy(), sample[score].to_numpy(float)
     groups = [np.flatnonzero(sample[cluster].to_numpy() == g) for g in sorted(sample[cluster].unique())] if cluster else None
     strata = [np.flatnonzero(t == v) for v in sorted(set(t.tolist()))] if stratified and not cluster else [np.arange(len(t))]
@@ -141,7 +152,7 @@ def bootstrap(rows: DataFrame, statistic: Statistic, resamples: int = 10000, con
 def permutation_test(rows: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], a: str, b: str, block: str, permutations: int = 20000, seed: int = 42) -> DataFrame:
     """How often b, shuffled within blocks, agrees with a as well as observed: `observed`, `at_least`, `p` = (1 + hits) / (1 +
     permutations) (M23). The sample is a paired evaluation table and is broadcast; permutations run in parallel."""
-    sample = rows.select(a, b, block).orderBy(block, a, b).toPandas()
+    sample = _sample(rows.select(a, b, block), [block, a, b])
     x, y, g = sample[a].to_numpy(float), sample[b].to_numpy(float), sample[block].to_numpy()
     parts = [np.flatnonzero(g == v) for v in sorted(set(g.tolist()))]
     observed = statistic(x, y)

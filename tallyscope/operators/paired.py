@@ -27,6 +27,18 @@ def by_ordinal(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str
     return _numbered(a, order_a, "a").join(_numbered(b, order_b, "b"), "ordinal", "full_outer")
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with `ordinal`, their place from 0 in an explicit order."""
+    return _numbered(rows, order, "_row").select("ordinal", "_row.*")
+
+
+def covered(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Join on a key; a key that `other` lacks fails the query."""
+    found = other.withColumn("_found", F.lit(True))
+    out = rows.join(found, key, "left")
+    return out.withColumn(key, F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not covered: "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))).drop("_found")
+
+
 def _numbered(rows: DataFrame, order: list[str], name: str, ranges: int = 256) -> DataFrame:
     first = F.col(order[0])
     bounds = sorted({r[0] for r in rows.filter(first.isNotNull()).select(first).orderBy(F.xxhash64(first)).limit(ranges).collect()})
@@ -137,6 +149,6 @@ def alignment_report(rows: DataFrame, a: str, b: str, label_a: str, label_b: str
     return rows.agg(F.count_if(F.col(label_a) != F.col(label_b)).alias("label_mismatches"), F.count_if(d > tolerance).alias("over_tolerance"), F.max(d).alias("max_difference"), F.avg(d).alias("mean_difference"), F.count_if(F.round(a, 6) == F.round(b, 6)).alias("equal_at_six"))
 
 
-def worst_rows(rows: DataFrame, a: str, b: str, limit: int = 10) -> DataFrame:
-    """The rows of the largest differences (H6)."""
-    return rows.withColumn("difference", F.abs(F.col(a) - F.col(b))).orderBy(F.desc("difference")).limit(limit)
+def worst_rows(rows: DataFrame, a: str, b: str, limit: int = 10, order: str | None = None) -> DataFrame:
+    """The rows of the largest differences, ties in the given order (H6)."""
+    return rows.withColumn("difference", F.abs(F.col(a) - F.col(b))).orderBy(F.desc("difference"), *([order] if order else [])).limit(limit)

@@ -6,6 +6,7 @@ for each streak of consecutive frames, and frames without tracks count, so these
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -14,9 +15,16 @@ from pyspark.sql import functions as F
 from tallyscope.functions import geometry as G
 from tallyscope.operators import tracks as T
 
-#: Event names, confidences of rules that have one, and descriptions.
+#: Fixed values, equal to those of the system that these results have to match: event names, confidences of rules that have one, and
+#: descriptions.
 STATIONARY, RESTRICTED, CROWDING, PROXIMITY, TEMPORAL = "Stationary Person", "Restricted Area Entry", "Crowding", "Proximity/Interaction", "Temporal Violence Signal"
 CONFIDENCE = {STATIONARY: 0.9, RESTRICTED: 0.95}
+DESCRIPTION = {
+    STATIONARY: "Person remained stationary for too many consecutive frames.",
+    RESTRICTED: "Person entered the predefined restricted region.",
+    CROWDING: "Configured simultaneous-person threshold persisted.",
+    PROXIMITY: "Tracked persons remained within the configured normalized distance.",
+}
 
 
 @dataclass(frozen=True)
@@ -26,11 +34,18 @@ class EventRule:
     name: str
     enabled: bool = True
     parameters: dict = field(default_factory=dict)
+    #: A rule of one's own: from (tracks, spine, rule) to `clip`, `frame`, `object_ids`, `confidence`, `evidence`.
+    run: Callable[[DataFrame, DataFrame, EventRule], DataFrame] | None = None
 
     def get(self, key: str, default):
         return self.parameters.get(key, default)
 
 
+def named(rules: list[EventRule], fragment: str) -> EventRule | None:
+    """The first rule whose name holds a fragment, whatever its case."""
+    return next((r for r in rules if fragment.lower() in r.name.lower()), None)
+
+
 def stationary(tracks: DataFrame, still: float = 3.0, frames: int = 5) -> DataFrame:
     """`clip`, `frame`, `track_id`, `streak` of persons at rest: level-triggered."""
     return T.persons(T.motion(tracks, still, frames)).filter("is_stationary").select("clip", "frame", "track_id", "streak")
@@ -68,8 +83,8 @@ def proximity(tracks: DataFrame, nearer: float, persistence: int) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") == persistence).select("clip", "frame", "id_a", "id_b", "distance", "diagonal")
 
 
-def _event(rows: DataFrame, name: str, text: str, rank: int, object_id, object_ids, evidence) -> DataFrame:
-    confidence = F.lit(CONFIDENCE.get(name)).cast("double")
+def _event(rows: DataFrame, name: str, text: str, rank: int, object_id, object_ids, evidence, confidence=None) -> DataFrame:
+    confidence = F.lit(CONFIDENCE.get(name)).cast("double") if confidence is None else confidence.cast("double")
     return rows.select(
         "clip", "frame", F.lit(name).alias("event_type"), F.lit(text).alias("description"), confidence.alias("confidence"), evidence.alias("evidence"),
         object_id.cast("bigint").alias("object_id"), object_ids.cast("array<bigint>").alias("object_ids"),
@@ -82,20 +97,24 @@ def detect(tracks: DataFrame, spine: DataFrame, rules: list[EventRule]) -> DataF
     then crowding, then proximity (G6, G7). A rule that is off is no part of the plan."""
     none, parts = F.lit(None), []
     for rule in (r for r in rules if r.enabled):
-        if rule.name == STATIONARY:
+        if rule.run is not None:
+            rows = rule.run(tracks, spine, rule)
+            own = _event(rows, rule.name, rule.get("description", rule.name), 4 + len(parts), none, F.col("object_ids"), F.col("evidence"))
+            parts.append(own if "confidence" not in rows.columns else _event(rows, rule.name, rule.get("description", rule.name), 4 + len(parts), none, F.col("object_ids"), F.col("evidence"), F.col("confidence")))
+        elif rule.name == STATIONARY:
             rows = stationary(tracks, rule.get("movement", 3.0), rule.get("frames", 5))
-            parts.append(_event(rows, STATIONARY, "Tracked person stayed within the movement threshold.", 0, F.col("track_id"), F.array("track_id"), F.array(F.format_string("stationary_frames=%d", F.col("streak")))))
+            parts.append(_event(rows, STATIONARY, DESCRIPTION[STATIONARY], 0, F.col("track_id"), F.array("track_id"), F.array(F.format_string("stationary_frames=%d", F.col("streak")))))
         elif rule.name == RESTRICTED:
             rows = restricted(tracks, rule.get("region", (0, 0, 200, 200)))
-            parts.append(_event(rows, RESTRICTED, "Tracked person entered the configured region.", 1, F.col("track_id"), F.array("track_id"), F.array(F.lit("entered_region=true"))))
+            parts.append(_event(rows, RESTRICTED, DESCRIPTION[RESTRICTED], 1, F.col("track_id"), F.array("track_id"), F.array(F.lit("entered_region=true"))))
         elif rule.name == CROWDING:
             rows = crowding(tracks, spine, rule.get("least", 3), rule.get("persistence", 3))
             evidence = F.array(F.format_string("person_count=%d", F.col("persons")), F.lit(f"minimum_person_count={rule.get('least', 3)}"), F.lit(f"persistence_frames={rule.get('persistence', 3)}"))
-            parts.append(_event(rows, CROWDING, "Configured simultaneous-person threshold persisted.", 2, none, F.col("object_ids"), evidence))
+            parts.append(_event(rows, CROWDING, DESCRIPTION[CROWDING], 2, none, F.col("object_ids"), evidence))
         elif rule.name == PROXIMITY:
             rows = proximity(tracks, rule.get("nearer", 0.1), rule.get("persistence", 3))
             evidence = F.array(F.format_string("normalized_centroid_distance=%.4f", F.col("distance")), F.format_string("person_group_diagonal=%.4f", F.col("diagonal")), F.lit(f"distance_threshold={rule.get('nearer', 0.1)}"), F.lit(f"persistence_frames={rule.get('persistence', 3)}"))
-            parts.append(_event(rows, PROXIMITY, "Tracked persons remained within the configured normalized distance.", 3, none, F.array("id_a", "id_b"), evidence))
+            parts.append(_event(rows, PROXIMITY, DESCRIPTION[PROXIMITY], 3, none, F.array("id_a", "id_b"), evidence))
         else:
             raise ValueError(f"unknown rule {rule.name}")
     if not parts:

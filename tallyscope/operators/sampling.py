@@ -35,6 +35,12 @@ def sample(clips: DataFrame, n: int, mode: str = "uniform", **options) -> DataFr
     return rows.withColumn("frames_repeated", repeats)
 
 
+def described(sampled: DataFrame, mode: str, n: int) -> DataFrame:
+    """One line for each clip that says how it was sampled."""
+    rows = sampled.groupBy("clip").agg(F.max("frames_repeated").alias("frames_repeated"))
+    return rows.withColumn("description", F.concat(F.lit(f"{mode}, {n} segments, "), F.col("frames_repeated").cast("string"), F.lit(" frames repeated")))
+
+
 def decode(wanted: DataFrame, frames: DataFrame, count: Column) -> DataFrame:
     """Frames for the wanted indices; one past the end gets the last (A4). A join on (clip, frame), never a seek."""
     return wanted.withColumn("frame", F.least("frame", count - 1)).join(frames, ["clip", "frame"])

@@ -102,12 +102,22 @@ def or_gate(rows: DataFrame, budget: int, swept: str, fixed: str, fixed_at: floa
     return rest.select("threshold", (F.col("tp") + F.col("htp")).alias("tp"), (F.col("fp") + F.col("hfp")).alias("fp"), "tn", "fn", "candidates")
 
 
-def promotion(results: DataFrame, incumbent: str = "max", margin: int = 5) -> DataFrame:
+def promotion(results: DataFrame, incumbent: str = "max", margin: int = 5, blocked: dict[str, str] | None = None) -> DataFrame:
     """Candidates at a common budget, ranked by true positives, false positives, complexity and name, and whether each beats the
-    incumbent by the margin; none need win (K12, H5). `results` has `name`, `tp`, `fp`, `complexity`."""
+    incumbent by the margin; none need win (K12, H5). `results` has `name`, `tp`, `fp`, `complexity`. Candidates `blocked` for a reason
+    are never promoted; the reason stands beside them, if any are."""
     base = F.max(F.when(F.col("name") == incumbent, F.col("tp"))).over(Window.partitionBy(F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("tp"), "fp", "complexity", "name"))
-    return results.withColumn("promoted", (F.col("name") != incumbent) & (F.col("tp") >= base + margin)).withColumn("place", rank)
+    out = results.withColumn("promoted", (F.col("name") != incumbent) & (F.col("tp") >= base + margin)).withColumn("place", rank)
+    if not blocked:
+        return out
+    reason = F.element_at(F.create_map(*[F.lit(x) for kv in blocked.items() for x in kv]), F.col("name"))
+    return out.withColumn("blocked", reason).withColumn("promoted", F.col("promoted") & reason.isNull())
+
+
+def identical_matrices(swept: DataFrame) -> DataFrame:
+    """How many thresholds of a sweep share each confusion matrix, for matrices that several give (K7)."""
+    return swept.groupBy("tp", "fp", "tn", "fn").agg(F.count(F.lit(1)).alias("thresholds")).filter("thresholds > 1")
 
 
 def reproduced(now: DataFrame, recorded: dict[str, int]) -> DataFrame:

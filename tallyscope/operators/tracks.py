@@ -84,6 +84,11 @@ def pairs(tracks: DataFrame) -> DataFrame:
     return joined.select("clip", "frame", F.col("a_track_id").alias("id_a"), F.col("b_track_id").alias("id_b"), "diagonal", G.normalised(F.hypot(ax - bx, ay - by), F.col("diagonal")).alias("distance"))
 
 
+def confident(detections: DataFrame, least: float) -> DataFrame:
+    """Detections of at least a confidence."""
+    return detections.filter(F.col("conf") >= least)
+
+
 def id_persistence(tracks: DataFrame) -> DataFrame:
     """Of each clip: distinct ids, and whether any was seen twice."""
     seen = tracks.groupBy("clip", "track_id").agg(F.count_distinct("frame").alias("n"))

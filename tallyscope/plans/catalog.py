@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyscope.plans import scenes  # noqa: F401  registers its queries
+from tallyscope.plans import basics, scenes  # noqa: F401  register their queries
 from tallyscope.plans.scores import ORACLES, QUERIES
 
 

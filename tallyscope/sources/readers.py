@@ -45,8 +45,17 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def window_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded window scores (A8); of repeated rows of a window any stands, as all carry the clip's last label."""
-    return csv(spark, path, schemas.WINDOW_SCORE)
+    """Recorded window scores (A8): of repeated rows of a window the last in the file stands, and every row bears its clip's last label."""
+    rows = csv(spark, path, schemas.WINDOW_SCORE).select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("_at"))
+    return last_rows(rows, "_at")
+
+
+def last_rows(rows: DataFrame, at: str) -> DataFrame:
+    """Of repeated rows of a window the last by `at`; every row bears the label of its clip's last row."""
+    columns = [c for c in rows.columns if c not in (at, "true_label")]
+    label = rows.groupBy("clip").agg(F.max_by("true_label", at).alias("true_label"))
+    kept = rows.groupBy("clip", "window_index").agg(F.max_by(F.struct(*columns), at).alias("w")).select("w.*")
+    return kept.join(label, "clip").select(*[c for c in rows.columns if c != at])
 
 
 def clip_windows(scores: DataFrame, clip: str) -> DataFrame:
@@ -55,7 +64,7 @@ def clip_windows(scores: DataFrame, clip: str) -> DataFrame:
 
 
 def true_label(scores: DataFrame) -> DataFrame:
-    """`clip`, `true_label` of its last row (A9): a repeated label is overridden rather than refused."""
+    """`clip`, `true_label`, one for each clip of `window_scores`."""
     return scores.groupBy("clip").agg(F.max_by("true_label", "window_index").alias("true_label"))
 
 
