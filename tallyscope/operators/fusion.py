@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.operators.ordered import running
+
 
 @dataclass(frozen=True)
 class Protocol:
@@ -38,14 +40,11 @@ def percentile(value: Column, sample: tuple[float, ...]) -> Column:
 def percentile_by_join(rows: DataFrame, column: str, sample: DataFrame, sample_column: str) -> DataFrame:
     """The same against a large sample in a table: values and sample are counted by distinct value and ordered together, so
     the work is one sort rather than a comparison of all with all."""
-    from pyspark.sql import Window
-
     points = sample.filter(F.col(sample_column).isNotNull()).groupBy(F.col(sample_column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     asked = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct().withColumn("c", F.lit(0))
     both = points.unionByName(asked).groupBy("v").agg(F.sum("c").alias("c"))
-    order = Window.partitionBy(F.lit(0)).orderBy("v")
-    below = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shares = both.select(F.col("v").alias(column), (below / F.sum("c").over(Window.partitionBy(F.lit(0)))).alias("percentile"))
+    total = points.agg(F.sum("c").alias("total"))
+    shares = running(both, ["v"], {"below": "c"}, unique=True).crossJoin(total).select(F.col("v").alias(column), (F.col("below") / F.col("total")).alias("percentile"))  # one row of totals
     return rows.join(shares, column, "left")
 
 

@@ -1,14 +1,16 @@
 """Binary classification metrics.
 
 Undefined values follow one of three conventions, each with its own function. Rank metrics need a global order: rows are
-first reduced to one for each distinct score, so the ordered window runs over scores rather than rows.
+first reduced to one for each distinct score, over which `ordered.running` sums by ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.operators.ordered import running
+
 TRUTH, FIRED = "truth", "fired"
 
 
@@ -56,51 +58,42 @@ def by_score(rows: DataFrame, score: str = "score", truth: str = TRUTH, by: list
     return rows.filter(F.col(score).isNotNull()).groupBy(*(by or []), F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
 
 
-def _group(by: list[str] | None):
-    return Window.partitionBy(*(by or [F.lit(0)]))
-
-
 def roc_auc(rows: DataFrame, score: str = "score", truth: str = TRUTH, by: list[str] | None = None, least: int = 1) -> DataFrame:
     """Area under the ROC curve by the rank identity with mid-ranks for ties; null with fewer than `least` of a class."""
-    below = F.coalesce(F.sum("n").over(_group(by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score(rows, score, truth, by).withColumn("u", F.col("p") * (2 * below + F.col("n")))
-    out = ranked.groupBy(*(by or [])).agg(F.sum("u").alias("u"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    # Totals are read from the last running sums: so all branches of the plan need the same columns and share one exchange.
+    sums = running(by_score(rows, score, truth, by), ["s"], {"below_p": "p", "below_n": "n"}, by, unique=True)
+    area, p, n = F.col("p") * (2 * F.col("below_n") + F.col("n")), F.col("below_p") + F.col("p"), F.col("below_n") + F.col("n")
+    out = sums.groupBy(*(by or [])).agg(F.sum(area).alias("u"), F.max(p).alias("pos"), F.max(n).alias("neg"))
     value = ratio(F.col("u"), 2 * F.col("pos") * F.col("neg"))
     return out.select(*(by or []), "pos", "neg", F.when((F.col("pos") >= least) & (F.col("neg") >= least), value).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, score: str = "score", truth: str = TRUTH, by: list[str] | None = None) -> DataFrame:
     """Average precision over blocks of tied scores; null with a single class (M7, F16)."""
-    down = _group(by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = by_score(rows, score, truth, by).withColumns({"tp": F.sum("p").over(down), "seen": F.sum(F.col("p") + F.col("n")).over(down)})
-    out = rows.groupBy(*(by or [])).agg(F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("a"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    rows = running(by_score(rows, score, truth, by), ["s"], {"above_p": "p", "above_n": "n"}, by, descending=True, unique=True)
+    tp, fp = F.col("above_p") + F.col("p"), F.col("above_n") + F.col("n")
+    out = rows.groupBy(*(by or [])).agg(F.sum(F.col("p") * tp / (tp + fp)).alias("a"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     return out.select(*(by or []), F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("a") / F.col("pos")).alias("average_precision"))
 
 
-def average_precision_rowwise(rows: DataFrame, score: str = "score", truth: str = TRUTH, order: str = "doc_id") -> DataFrame:
-    """Average precision row by row, ties in the given order.
+def _by_row(rows: DataFrame, score: str, truth: str, order: str) -> DataFrame:
+    """`t`, and the positives and negatives up to and with each row by descending score, ties in the given order."""
+    rows = rows.filter(F.col(score).isNotNull()).select((-F.col(score)).alias("d"), F.col(order).alias("o"), F.col(truth).alias("t"), (1 - F.col(truth)).alias("f"))
+    placed = running(rows, ["d", "o"], {"above_p": "t", "above_n": "f"})
+    return placed.select("t", (F.col("above_p") + F.col("t")).alias("tp"), (F.col("above_n") + F.col("f")).alias("fp"))
+
 
-    Places follow from counts of higher scores and a rank within a tie, so no window holds all rows.
-    """
-    rows = rows.filter(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(truth).alias("t"), F.col(order).alias("o"))
-    high = Window.partitionBy(F.lit(0)).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("s").agg(F.count_if(F.col("t") == 1).alias("p"), F.count(F.lit(1)).alias("c"))
-    blocks = blocks.select("s", F.coalesce(F.sum("p").over(high), F.lit(0)).alias("above_p"), F.coalesce(F.sum("c").over(high), F.lit(0)).alias("above"))
-    tie = Window.partitionBy("s").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(blocks, "s").withColumns({"tp": F.col("above_p") + F.sum("t").over(tie), "seen": F.col("above") + F.count(F.lit(1)).over(tie)})
-    return placed.agg((F.sum(F.when(F.col("t") == 1, F.col("tp") / F.col("seen"))) / F.nullif(F.count_if(F.col("t") == 1), F.lit(0))).alias("average_precision"))
+def average_precision_rowwise(rows: DataFrame, score: str = "score", truth: str = TRUTH, order: str = "doc_id") -> DataFrame:
+    """Average precision row by row, ties in the given order (M7b); the truth is 0 or 1. Ties are cut into ranges like other rows."""
+    placed = _by_row(rows, score, truth, order)
+    return placed.agg((F.sum(F.when(F.col("t") == 1, F.col("tp") / (F.col("tp") + F.col("fp")))) / F.nullif(F.count_if(F.col("t") == 1), F.lit(0))).alias("average_precision"))
 
 
 def roc_points(rows: DataFrame, score: str = "score", truth: str = TRUTH, order: str = "doc_id") -> DataFrame:
     """Points of the ROC curve, one for each row by descending score (ties in the given order), between (0,0) and (1,1) (M8)."""
-    rows = rows.filter(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(truth).alias("t"), F.col(order).alias("o"))
-    every = Window.partitionBy(F.lit(0))
-    high = every.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = by_score(rows.withColumnRenamed("s", "score").withColumnRenamed("t", TRUTH)).select(
-        "s", F.coalesce(F.sum("p").over(high), F.lit(0)).alias("ap"), F.coalesce(F.sum("n").over(high), F.lit(0)).alias("an"), F.sum("p").over(every).alias("P"), F.sum("n").over(every).alias("N")
-    )
-    tie = Window.partitionBy("s").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(blocks, "s").withColumns({"tp": F.col("ap") + F.sum("t").over(tie), "fp": F.col("an") + F.sum(1 - F.col("t")).over(tie)})
-    body = placed.select((F.col("tp") + F.col("fp")).alias("point"), ratio(F.col("fp"), F.col("N")).alias("fpr"), ratio(F.col("tp"), F.col("P")).alias("tpr"))
-    ends = rows.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")), F.struct((F.col("n") + 1).alias("point"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr")))).alias("e"))
+    scored = rows.filter(F.col(score).isNotNull())
+    totals = scored.agg(F.count_if(F.col(truth) == 1).alias("P"), F.count_if(F.col(truth) == 0).alias("N"))
+    body = _by_row(rows, score, truth, order).crossJoin(totals)  # one row of totals
+    body = body.select((F.col("tp") + F.col("fp")).alias("point"), ratio(F.col("fp"), F.col("N")).alias("fpr"), ratio(F.col("tp"), F.col("P")).alias("tpr"))
+    ends = scored.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")), F.struct((F.col("n") + 1).alias("point"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr")))).alias("e"))
     return body.unionByName(ends.select("e.*"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.operators import metrics
+from tallyscope.operators.ordered import previous, running
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
@@ -20,9 +21,8 @@ def aligned(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
 def by_ordinal(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
     """Join two tables by their places in explicit orders (D4): `a` and `b` as structs beside `ordinal`.
 
-    Rows are dealt into ranges of the first order column, whose bounds are a small sample drawn by digest; places within a
-    range and the sizes of the ranges before it give the ordinal, so no task holds a whole table and a repeated task
-    gives the same places.
+    Places are running counts over ranges of the order, so no task holds a whole table and a repeated task gives the same
+    places if the order is unique.
     """
     return _numbered(a, order_a, "a").join(_numbered(b, order_b, "b"), "ordinal", "full_outer")
 
@@ -39,34 +39,43 @@ def covered(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return out.withColumn(key, F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not covered: "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))).drop("_found")
 
 
-def _numbered(rows: DataFrame, order: list[str], name: str, ranges: int = 256) -> DataFrame:
-    first = F.col(order[0])
-    bounds = sorted({r[0] for r in rows.filter(first.isNotNull()).select(first).orderBy(F.xxhash64(first)).limit(ranges).collect()})
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < first)) if bounds else F.lit(0)
-    placed = rows.select(F.struct(*rows.columns).alias(name), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.coalesce(F.when(first.isNotNull(), below), F.lit(-1)).alias("_range"))
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*[f"_o{k}" for k in range(len(order))]))
-    return placed.withColumn("_place", place).join(F.broadcast(starts), "_range").select((F.col("_start") + F.col("_place") - 1).alias("ordinal"), name)
+def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    keys = [f"_o{k}" for k in range(len(order))]
+    placed = rows.select(F.struct(*rows.columns).alias(name), *[F.col(c).alias(k) for k, c in zip(keys, order)], F.lit(1).cast("bigint").alias("_one"))
+    return running(placed, keys, {"ordinal": "_one"}).select("ordinal", name)
+
+
+def _log_share(n: Column, k: Column) -> Column:
+    """Logarithm of the probability of k heads in n fair throws, by Stirling's series; for k and n - k above 1000."""
+    rest, d = n - k, (n - 2 * k) / n
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x * x * x)
+    return -(k * F.log1p(-d) + rest * F.log1p(d)) + F.log(n / (2 * F.pi() * k * rest)) / 2 + series(n) - series(k) - series(rest)
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided McNemar p-value, capped at 1; 1 without discordant pairs.
 
-    Terms are built from logarithms of the binomial coefficients, so large counts don't overflow.
+    Up to 1000 of the rarer kind all terms are added from the first one up, by logarithms of the binomial coefficients. Beyond
+    that they're added from the last and largest one down, 9 * sqrt(n) of them; each one left out is below e-100 of the largest.
     """
     n, k = b + c, F.least(b, c)
     log2 = 0.6931471805599453
-    terms = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), k),
-        F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(
-            F.when(i == 0, -n.cast("double") * log2).otherwise(acc["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).alias("log"),
-            (acc["sum"] + F.exp(F.when(i == 0, -n.cast("double") * log2).otherwise(acc["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))))).alias("sum"),
-        ),
-    )
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms["sum"]))
+    nd, kd = n.cast("double"), k.cast("double")
+
+    def upward(acc: Column, i: Column) -> Column:
+        log = F.when(i == 0, -nd * log2).otherwise(acc["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double")))
+        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
+
+    def downward(acc: Column, j: Column) -> Column:
+        share = acc["share"] * (kd - j + 1) / (nd - kd + j)
+        return F.struct(share.alias("share"), (acc["sum"] + share).alias("sum"))
+
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+    small = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(1000))), start, upward)["sum"]
+    first = F.struct(F.lit(1.0).alias("share"), F.lit(1.0).alias("sum"))
+    steps = F.least(k, F.ceil(9 * F.sqrt(nd)))
+    large = F.exp(_log_share(nd, kd)) * F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(steps, F.lit(1))), first, downward)["sum"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(k <= 1000, small).otherwise(large)))
 
 
 def tables(rows: DataFrame, truth: str = "truth", a: str = "a", b: str = "b") -> DataFrame:
@@ -110,12 +119,10 @@ def largest_ties(rows: DataFrame, score: str = "score", truth: str = "truth", li
 
 
 def tie_clusters(rows: DataFrame, tolerance: float, score: str = "score") -> DataFrame:
-    """`value`, `cluster`: distinct scores chained while neighbours lie within the tolerance (F17). Only distinct values are
-    ordered together."""
-    order = Window.partitionBy(F.lit(0)).orderBy("value")
-    values = rows.select(F.col(score).alias("value")).distinct()
-    gap = F.coalesce((F.col("value") - F.lag("value", 1).over(order)) > tolerance, F.lit(False))
-    return values.withColumn("_gap", gap.cast("bigint")).withColumn("cluster", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_gap")
+    """`value`, `cluster`: distinct scores chained while neighbours lie within the tolerance."""
+    values = previous(rows.select(F.col(score).alias("value")).distinct(), "value")
+    gaps = values.withColumn("_gap", F.coalesce(F.col("value") - F.col("previous") > tolerance, F.lit(False)).cast("bigint")).drop("previous")
+    return running(gaps, ["value"], {"_gaps": "_gap"}).select("value", (F.col("_gaps") + F.col("_gap")).alias("cluster"))
 
 
 def swap_invariance(rows: DataFrame, tolerance: float, score: str = "score", truth: str = "truth", fired: str = "fired") -> DataFrame:

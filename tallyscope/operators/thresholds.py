@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.operators import metrics
+from tallyscope.operators.ordered import running
 
 
 def grid(start: float, stop: float, step: float) -> list[float]:
@@ -80,14 +81,13 @@ def calibrate(rows: DataFrame, budget: Column | int, value: str = "value", truth
     """The threshold among distinct values whose false positives lie nearest to the budget; ties go to more true positives,
     then to the higher threshold (K6, K7, H3). Null values never fire but count in the totals.
 
-    Cumulative counts over one descending order of the distinct values replace a scan for each candidate.
+    Running counts over one descending order of the distinct values replace a scan for each candidate.
     """
     by = by or []
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    down = group.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     goal = budget if isinstance(budget, Column) else F.lit(budget)
     totals = rows.groupBy(*by).agg(F.count_if(F.col(truth) == 1).alias("all_p"), F.count_if(F.col(truth) == 0).alias("all_n"))
-    counts = metrics.by_score(rows, value, truth, by).withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    counts = running(metrics.by_score(rows, value, truth, by), ["s"], {"above_p": "p", "above_n": "n"}, by, descending=True, unique=True)
+    counts = counts.withColumns({"tp": F.col("above_p") + F.col("p"), "fp": F.col("above_n") + F.col("n")})
     joined = counts.join(totals, by) if by else counts.crossJoin(totals)  # one row of totals
     pick = F.min_by(F.struct(F.col("s").alias("threshold"), "tp", "fp", (F.col("all_n") - F.col("fp")).alias("tn"), (F.col("all_p") - F.col("tp")).alias("fn")), F.struct(F.abs(F.col("fp") - goal), -F.col("tp"), -F.col("s")))
     return joined.groupBy(*by).agg(pick.alias("r"), F.count(F.lit(1)).alias("candidates")).select(*by, "r.*", "candidates")
