@@ -1,20 +1,27 @@
 """Greedy overlap tracker (G1, D6): one step function for batch and stream.
 
-Association depends on the frame before, so a clip is processed in frame order by one task; clips run in parallel and state
-is bounded by the tracks that `max_age` retains.
+Association depends on the frame before, so a clip is processed in frame order by one task; clips run in parallel. A task
+reads sorted rows batch by batch and holds one frame and the open tracks, which `max_age` bounds, however long a clip is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import batched, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "clip bigint, frame bigint, track_id bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, last_seen bigint, hits bigint"
 BOX = ["x1", "y1", "x2", "y2"]
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+TYPES = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in SCHEMA.split(", ")]
+#: Rows in a batch of results.
+BATCH = 10_000
 
 
 @dataclass
@@ -29,7 +36,7 @@ class State:
 
     @staticmethod
     def unpack(rows: list, next_id: int) -> State:
-        return State({r[0]: [np.array(r[1:5], float), r[5], r[6], r[7], r[8]] for r in rows}, next_id)
+        return State({r[0]: [list(r[1:5]), r[5], r[6], r[7], r[8]] for r in rows}, next_id)
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,43 +48,48 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(w * h, union, out=np.zeros_like(union), where=union > 0)
 
 
-def step(state: State, frame: int, boxes: np.ndarray, classes, confs, least: float, max_age: int) -> None:
-    """One frame: the best overlap of all is matched first (ties: oldest track, then first detection) until none reaches
-    `least`; other detections open tracks in their order; tracks unseen for more than `max_age` frames close."""
-    ids, used = list(state.tracks), set()
-    if len(boxes) and ids:
-        grid = overlaps(np.array([state.tracks[k][0] for k in ids]), boxes)
-        order = np.argsort(-grid, axis=None, kind="stable")
-        rows_left, taken = set(range(len(ids))), used
-        for flat in order.tolist():
-            i, j = divmod(flat, len(boxes))
-            if grid[i, j] < least:
-                break
-            if i in rows_left and j not in taken:
-                rows_left.discard(i)
-                taken.add(j)
-                old = state.tracks[ids[i]]
-                state.tracks[ids[i]] = [boxes[j], classes[j], confs[j], frame, old[4] + 1]
-    for j in range(len(boxes)):
-        if j not in used:
-            state.tracks[state.next_id] = [boxes[j], classes[j], confs[j], frame, 1]
+def step(state: State, frame: int, found: list[tuple], least: float, max_age: int) -> None:
+    """One frame of detections (class, confidence, box): the best overlap of all is matched first (ties: oldest track, then
+    first detection) until none reaches `least`; other detections open tracks in their order; tracks unseen for more than
+    `max_age` frames close."""
+    ids, matched, used = list(state.tracks), set(), set()
+    if found and ids:
+        grid = overlaps(np.array([state.tracks[k][0] for k in ids], float), np.array([d[2] for d in found], float))
+        i, j = np.nonzero(grid >= least)
+        order = np.argsort(-grid[i, j], kind="stable")
+        for row, col in zip(i[order].tolist(), j[order].tolist()):
+            if row not in matched and col not in used:
+                matched.add(row)
+                used.add(col)
+                kind, conf, box = found[col]
+                state.tracks[ids[row]] = [box, kind, conf, frame, state.tracks[ids[row]][4] + 1]
+    for col, (kind, conf, box) in enumerate(found):
+        if col not in used:
+            state.tracks[state.next_id] = [box, kind, conf, frame, 1]
             state.next_id += 1
     for k in [k for k, t in state.tracks.items() if frame - t[3] > max_age]:
         del state.tracks[k]
 
 
+def follow(state: State, clip, rows: Iterable[tuple], least: float, max_age: int, only_active: bool) -> Iterator[tuple]:
+    """Open tracks after each frame of a clip, from rows (frame, class, confidence, box) in order; one whose box is null is an
+    empty frame."""
+    for frame, group in groupby(rows, key=lambda r: r[0]):
+        step(state, frame, [(kind, conf, box) for _, kind, conf, box in group if box[0] is not None and box[0] == box[0]], least, max_age)
+        for tid, (box, kind, conf, seen, hits) in state.tracks.items():
+            if not only_active or seen == frame:
+                yield clip, frame, tid, kind, conf, *box, seen, hits
+
+
+def _rows(frame: list, kind: list, conf: list, *box: list) -> Iterator[tuple]:
+    return zip(frame, kind, conf, map(list, zip(*box)))
+
+
 def run_frames(state: State, clip, rows: pd.DataFrame, least: float, max_age: int, only_active: bool) -> pd.DataFrame:
-    """Feed a clip's frames (detections in `det_idx` order; a row without a box is an empty frame) and list open tracks."""
-    out = []
+    """Feed a clip's frames (detections in `det_idx` order) and list open tracks."""
     rows = rows.sort_values(["frame", "det_idx"], kind="stable")
-    frames, cuts = np.unique(rows["frame"].to_numpy(), return_index=True)
-    values, classes, confs = rows[BOX].to_numpy(float), rows["class_id"].to_numpy(), rows["conf"].to_numpy()
-    for k, frame in enumerate(frames.tolist()):
-        s, e = cuts[k], cuts[k + 1] if k + 1 < len(cuts) else len(rows)
-        at = [i for i in range(s, e) if not np.isnan(values[i, 0])]
-        step(state, frame, values[at], [int(classes[i]) for i in at], [float(confs[i]) for i in at], least, max_age)
-        out += [(clip, frame, tid, int(t[1]), float(t[2]), *map(float, t[0]), t[3], t[4]) for tid, t in state.tracks.items() if not only_active or t[3] == frame]
-    return pd.DataFrame(out, columns=["clip", "frame", "track_id", "class_id", "conf", *BOX, "last_seen", "hits"])
+    ordered = _rows(*[rows[c].tolist() for c in ("frame", "class_id", "conf", *BOX)])
+    return pd.DataFrame(follow(state, clip, ordered, least, max_age, only_active), columns=COLUMNS)
 
 
 def track(detections: DataFrame, spine: DataFrame | None = None, least: float = 0.3, max_age: int = 30, only_active: bool = True) -> DataFrame:
@@ -88,7 +100,11 @@ def track(detections: DataFrame, spine: DataFrame | None = None, least: float =
         rows = spine.select("clip", "frame").join(rows, ["clip", "frame"], "left").fillna({"det_idx": 0})
     rows = rows.fillna({"class_id": -1, "conf": 0.0})
 
-    def per_clip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return run_frames(State(), key[0], pdf, least, max_age, only_active)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (row for batch in batches for row in zip(batch.column(0).to_pylist(), _rows(*[c.to_pylist() for c in batch.columns[1:]])))
+        tracks = (t for clip, rows in groupby(flat, key=lambda r: r[0]) for t in follow(State(), clip, (r for _, r in rows), least, max_age, only_active))
+        for part in batched(tracks, BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), TYPES)], names=COLUMNS)
 
-    return rows.groupBy("clip").applyInPandas(per_clip, SCHEMA)
+    placed = rows.repartition("clip").sortWithinPartitions("clip", "frame", "det_idx")
+    return placed.select("clip", "frame", "class_id", "conf", *BOX).mapInArrow(run, SCHEMA)

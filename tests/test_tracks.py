@@ -165,3 +165,26 @@ def test_top_nearest_and_fraction(spark):
     assert T.nearest(df, point).first().det_idx == 2
     events = spark.createDataFrame([(0, 1, "a"), (0, 1, "a"), (0, 2, "a")], "clip bigint, frame bigint, event_type string")
     assert rules.fire_fraction(events, spine_of(spark, 8)).first().fraction == 0.25
+
+
+def test_tracker_batches_cut_frames(spark):
+    rows = [(c, f, d, d % 2, 0.5, 30.0 * d + f, 0.0, 30.0 * d + f + 20, 20.0 + c) for c in range(4) for f in range(12) for d in range(1 + (f + c) % 3)]
+    schema = "clip bigint, frame bigint, det_idx int, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    want = []
+    for c in range(4):
+        one = pd.DataFrame([r for r in rows if r[0] == c], columns=df.columns)
+        want += list(tracking.run_frames(tracking.State(), c, one, 0.3, 2, False).itertuples(index=False, name=None))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "2")
+        got = [tuple(r) for r in tracking.track(df, None, 0.3, 2, False).collect()]
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(got) == sorted(want) and len(want) > len(rows)
+
+
+def test_tracker_without_rows(spark):
+    empty = spark.createDataFrame([], "clip bigint, frame bigint, det_idx int, class_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert tracking.track(empty).collect() == []
