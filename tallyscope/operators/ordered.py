@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Levels of the search among bounds; there are one fewer bounds than 2 ** LEVELS, whatever the number of rows.
-LEVELS = 12
+LEVELS = 8
 
 
 def ranged(rows: DataFrame, order: list[str], unique: bool = False) -> DataFrame:
