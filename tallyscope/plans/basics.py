@@ -331,8 +331,8 @@ _DRAWS = "draws as (select r as resample, s as slot, (r * 7919 + s * 104729 + (r
 def _drawn(units, resamples: int = 200):
     """The table of draws that the SQL builds too."""
     n = units.count()
-    rows = units.sparkSession.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("s"))
-    return rows.select(F.col("r").alias("resample"), F.col("s").alias("slot"), ((F.col("r") * 7919 + F.col("s") * 104729 + (F.col("r") * F.col("s")) % 613) % n).alias("ordinal"))
+    r, s = F.col("resample"), F.col("slot")
+    return resampling.slots(units.sparkSession, n, resamples).withColumn("ordinal", (r * 7919 + s * 104729 + (r * s) % 613) % n)
 
 
 def _rounded(df):

@@ -50,3 +50,30 @@ def test_rules_by_a_part_of_their_name_and_descriptions():
     every = [rules.EventRule(rules.CROWDING), rules.EventRule(rules.STATIONARY)]
     assert rules.named(every, "station").name == rules.STATIONARY and rules.named(every, "none") is None
     assert set(rules.DESCRIPTION) == {rules.STATIONARY, rules.RESTRICTED, rules.CROWDING, rules.PROXIMITY}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_draws_without_units(spark):
+    from tallyscope.plans import basics
+
+    units = spark.createDataFrame([], "ordinal bigint, n int, right_a bigint, right_b bigint, value double")
+    drawn = basics._drawn(units)
+    assert drawn.count() == 0
+    for got in (resampling.paired_difference(units, drawn).first(), resampling.censored_median(units, drawn).first()):
+        assert (got.point, got.low, got.high, got.used, got.discarded) == (None, None, None, 0, 0)
+
+
+def test_order_statistics_count_equal_values_and_hold_no_list(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 != 0, (F.col("id") * 37 % 101) / 4.0).alias("value"))
+    own = {g: sorted(float("inf") if r.value is None else r.value for r in rows.filter(f"g = {g}").collect()) for g in range(3)}
+    every = sorted(sum(own.values(), []))
+    for q in (0.0, 0.25, 0.5, 0.8, 1.0):
+        nth = lambda v: (x := v[max(1, -int(-q * len(v) // 1)) - 1]) < float("inf") and x or None  # noqa: E731, B023
+        got = resampling.order_statistics(rows, q, "g")
+        assert {r.g: r.value or None for r in got.collect()} == {g: nth(v) for g, v in own.items()}
+        one = resampling.order_statistic(rows, q).collect()
+        assert len(one) == 1 and (one[0].value or None) == nth(every)
+        assert "collect_list(value" not in _plan(got)
