@@ -45,7 +45,7 @@ def paired_difference(units: DataFrame, drawn: DataFrame, confidence: float = 0.
     """Interval of the accuracy difference b - a (M14). `units` has `ordinal`, `n`, `right_a`, `right_b`: one row for each clip, or for
     each source with its clips' sums, which are then drawn whole."""
     share = lambda: ((F.sum("right_b") - F.sum("right_a")) / F.sum("n"))
-    values = drawn.join(units, "ordinal").groupBy("resample").agg(share().alias("value"))
+    values = drawn_units(units.select("ordinal", "n", "right_a", "right_b"), drawn).groupBy("resample").agg(share().alias("value"))
     return interval(values, units.agg(share().alias("point")), confidence)
 
 

@@ -56,6 +56,24 @@ def _plan(df):
     return df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_draws_are_never_broadcast(spark, monkeypatch, few):
+    """Draws are many times the units; their number has to be known when a join is planned."""
+    from tallyscope.plans import basics
+
+    if not few:
+        monkeypatch.setattr(resampling, "BROADCAST_BYTES", 0)
+    n = 20_000
+    units = spark.range(n).select(F.col("id").alias("ordinal"), F.lit(1).alias("n"), (F.col("id") % 2).alias("right_a"), (F.col("id") % 3 % 2).alias("right_b"))
+    for drawn in (resampling.draws(spark, n, 100), basics._drawn(units, 100)):
+        size = int(str(drawn._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        assert size >= 8 * 100 * n and drawn.count() == 100 * n
+        joined = resampling.drawn_units(units, drawn)
+        assert ("BroadcastHashJoin [ordinal" in _plan(joined)) == few and ("SortMergeJoin" in _plan(joined)) != few
+        got = resampling.paired_difference(units, drawn).first()
+        assert got.used == 100 and got.low < got.point < got.high
+
+
 def test_no_draws_without_units(spark):
     from tallyscope.plans import basics
 
