@@ -39,10 +39,21 @@ def paired_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).withColumn("score_b", ((F.col("doc_id") * 37) % 1000) / F.lit(1000.0))
 
 
+def mean_in_order(rows: DataFrame, key: str, order: list[str], c: str) -> DataFrame:
+    """`key`, `mean` of a column of doubles, added one by one in a unique order: partial sums, which meet in any order, would give
+    equal groups means that differ in their last digits, and these round apart. A group's rows pass through its window, on disk if need be."""
+    place = Window.partitionBy(key).orderBy(*order)
+    upto = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(key, F.struct(F.row_number().over(place).alias("place"), F.sum(c).over(upto).alias("sum"), F.count(c).over(upto).alias("n")).alias("at"))
+    last = sums.groupBy(key).agg(F.max("at").alias("at"))
+    return last.select(key, F.when(F.col("at.n") > 0, F.col("at.sum") / F.col("at.n")).alias("mean"))
+
+
 def clip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`clip`, `temporal_max`, `spatial` (null for some): two independent kinds of evidence for each clip."""
     temporal = window_scores(spark, sf_dir).groupBy("clip").agg(F.max("score").alias("temporal_max"))
-    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("clip")).agg(F.round(F.avg("value") / 100, 6).alias("s"))
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("clip"), "ts", "event_id", "value")
+    bought = mean_in_order(bought, "clip", ["ts", "event_id"], "value").select("clip", F.round(F.col("mean") / 100, 6).alias("s"))
     return temporal.join(bought, "clip", "left").select("clip", "temporal_max", F.when(F.col("clip") % 11 != 0, F.col("s")).alias("spatial"))
 
 
