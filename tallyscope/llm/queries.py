@@ -13,7 +13,7 @@ from tallyscope.llm.common import crc32_of_id, table
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit_bags(toxicity.training_bags(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 3 == 1, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

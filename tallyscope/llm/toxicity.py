@@ -17,6 +17,7 @@ margin is that of its worst word, turned into a probability by a logistic fit.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -409,9 +410,9 @@ def _logistic(margin: np.ndarray, truth: np.ndarray, virtual: np.ndarray) -> tup
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
-def training_bags(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[list[str], int]]:
-    """The distinct words and the label of each text of a bounded sample of labelled rows: those whose crc32 of the id modulo 3 isn't 1,
-    FIT_TEXTS of each class at most. Texts are reduced to words by the executors; the driver takes one partition after the other."""
+def _bags(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`digest`, `toxic`, `words`: the distinct words and the label of each text of a bounded sample of labelled rows: those whose crc32 of
+    the id modulo 3 isn't 1, FIT_TEXTS of each class at most. Texts are reduced to words by the executors."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc32_of_id(F.col("doc_id")) % 3 != 1)
     chosen = None
     for value in (0, 1):
@@ -424,11 +425,34 @@ def training_bags(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[list[str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["digest", "toxic", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("digest"), F.col("toxic").cast("int").alias("toxic"), "text")
-    bags = staged(rows.mapInArrow(reduce, "digest bigint, toxic int, words array<string>"), "bags").orderBy("digest", "toxic")
-    for row in islice(bags.toLocalIterator(), 4 * FIT_TEXTS):
+    return staged(rows.mapInArrow(reduce, "digest bigint, toxic int, words array<string>"), "bags")
+
+
+def training_bags(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[list[str], int]]:
+    """The words and labels of the training texts, in the driver, which takes one partition after the other."""
+    for row in islice(_bags(docs, labels).orderBy("digest", "toxic").toLocalIterator(), 4 * FIT_TEXTS):
         yield row.words, row.toxic
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """`fit_bags` of `training_bags` in one task: kernels, words and tables of the fit take memory of an executor, and the driver gets
+    the model alone."""
+
+    def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def labelled() -> Iterator[tuple[list[str], int]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 100):
+                    part = batch.slice(at, 100)
+                    yield from zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True)
+
+        model = fit_bags(islice(labelled(), 4 * FIT_TEXTS))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    ordered = _bags(docs, labels).coalesce(1).sortWithinPartitions("digest", "toxic").select("toxic", "words")
+    rows = ordered.mapInArrow(fit_task, "model binary").collect()  # one row
+    return pickle.loads(rows[0].model) if rows else fit_bags(())
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` with `score` (double, 0 to 1) and `predicted` (1 from THRESHOLD on), in one narrow pass.
 
@@ -466,7 +490,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the machine, trained on labelled rows among them, doesn't call toxic."""
-    model = fit_bags(training_bags(docs, labels))
+    model = fitted(docs, labels)
     return score(docs.select(whole(docs), "text"), model).filter("predicted = 0").select("_row.*")
 
 

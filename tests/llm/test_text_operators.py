@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -395,6 +396,24 @@ def test_training_leaves_held_out_rows_alone(spark, small):
     assert len(texts) == len(got) == want
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark, small, monkeypatch):
+    """The driver's Python held the words and kernels of the fit, on top of a JVM that other stages had filled."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    want = toxicity.fit_bags(toxicity.training_bags(docs, labels))
+    got = toxicity.fitted(docs, labels)
+    assert np.array_equal(got.codes, want.codes) and np.allclose(got.weights, want.weights, atol=1e-6) and abs(got.shift - want.shift) < 1e-6
+    driver, real = os.getpid(), toxicity.fit_bags
+
+    def elsewhere(labelled, rounds=3):
+        assert os.getpid() != driver
+        return real(labelled, rounds)
+
+    monkeypatch.setattr(toxicity, "fit_bags", elsewhere)
+    assert toxicity.clean(docs, labels).count() <= docs.count()
+    none = toxicity.fitted(docs.limit(0), labels)
+    assert len(none.codes) == 0 and none.bias == 0
+
+
 def test_languages(spark):
     train = {"en": "the cat and the dog were with them", "fr": "le chat et le chien sont avec eux", "de": "der hund und die katze sind nicht hier"}
     docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(train.items())] * 3 + [(9, None, "en"), (10, "x", None)], "doc_id bigint, text string, lang string")
