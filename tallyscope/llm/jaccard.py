@@ -2,9 +2,9 @@
 
 The distinct word n-grams of a text are hashed to 64 bits; the order of the hashes is the global order, and it is
 cut into fragments. Two sets with a Jaccard similarity of t or more differ in at most (1 - t) / t of the smaller
-size, d elements. Cut into d + 2 fragments, they agree in at least two of these, so pairs of different texts are
-sought only among sets that have a whole non-empty fragment in common (sets with several empty fragments also
-compare their empty ones). Overlaps of such pairs are counted in vertical fragments of the global order, one after the other, and summed per pair.
+size, d elements, so a set of which more than d fragments hold something agrees with every partner in one of these. Pairs
+of different texts are sought only among sets that have a whole non-empty fragment in common; a set with too few such
+fragments is also cut by other bits, up to CUTS times, and only what then still has too few compares its empty ones. Overlaps of such pairs are counted in vertical fragments of the global order, one after the other, and summed per pair.
 
 Equal sets are one class from the start, and classes stand for their copies. Within a bucket of classes that share
 a fragment, each class is first compared with one of them (of the most central ones of its buckets, the one that it shares
@@ -16,6 +16,7 @@ components are counted exactly, block by block, of whose links again a spanning
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from tallyscope.llm.components import components
 
 #: Ratio of the sizes that share a number of fragments.
 SIZE_STEP = 1.5
+#: Ways to cut a set into fragments, tried until enough of them hold something.
+CUTS = 6
 #: Bits of the smallest parity sketch; others have the power of two from the size of their set on.
 SKETCH_BITS = 256
 #: Elements of a set in one vertical fragment, about; longer sets are cut into more fragments.
@@ -63,30 +66,57 @@ def gram_hashes(text: str | None, n: int) -> np.ndarray:
     return np.unique(s)
 
 
-def fragments_of(size: int, num: int, den: int) -> tuple[int, int]:
-    """Size class of a set, and the number of fragments in which that class is cut: one more than differences, and one spare."""
-    k = int(math.log(max(size, 1)) / math.log(SIZE_STEP) + 1e-9)
+def size_class(size: int) -> int:
+    """Number of the range, from a power of SIZE_STEP to the next, in which a size lies."""
+    return int(math.log(max(size, 1)) / math.log(SIZE_STEP) + 1e-9)
+
+
+@functools.cache
+def fragments_of(k: int, num: int, den: int) -> tuple[int, int, int]:
+    """Largest size of a class, the number of fragments in which its sets are cut, and the number of ways to cut them.
+
+    There are at least two fragments more than differences, and if possible so many that even in the largest sets more
+    fragments than differences are rarely empty; only then further cuts help a set in which they are.
+    """
     top = math.ceil(SIZE_STEP ** (k + 1))
-    return k, top * (den - num) // num + 2
+    d = top * (den - num) // num
+    for m in range(d + 2, 2 * d + 3):
+        empty = m * math.exp(-top / m)
+        if m - empty - 2 * math.sqrt(empty) > d:
+            return top, m, CUTS
+    return top, d + 2, 1
 
 
 def fragment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the fragments of a set, for its own size class and those in which a smaller partner may lie."""
+    """Keys of the fragments of a set, for its own size class and those in which a smaller partner may lie.
+
+    A set with more non-empty fragments than differences agrees in one of them with every partner. One with fewer has also the
+    keys of the next cut, by other bits; if even the last cut leaves it too few, those of the empty fragments of that cut. So at
+    the first cut that suffices for one of two partners, or at the last, both have all the keys that are needed.
+    """
     least = max(1, -(-len(s) * num // den))
-    classes = range(fragments_of(least, num, den)[0], fragments_of(len(s), num, den)[0] + 1)
     out = []
-    mixed = (s ^ (s >> _U(29))) * _U(0xD6E8FEB86659FD93)
-    for k in classes:
-        m = max(1, math.ceil(SIZE_STEP ** (k + 1)) * (den - num) // num + 2)
-        f = ((s >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-        keys = np.add.reduceat(mixed, start)
-        own = f[start]
-        if m - len(own) > 1:
-            empty = np.setdiff1d(np.arange(m), own, assume_unique=True)
-            keys, own = np.concatenate((keys, np.zeros(len(empty), np.uint64))), np.concatenate((own, empty))
-        keys = (keys ^ (own.astype(np.uint64) * _U(0xA0761D6478BD642F) + _U(k + 1) * _U(0xE7037ED1A0B428DB))) * _U(0x8EBC6AF09C88C6E3)
-        out.append(keys ^ (keys >> _U(32)))
+    for k in range(size_class(least), size_class(len(s)) + 1):
+        top, m, cuts = fragments_of(k, num, den)
+        d = min(len(s), top) * (den - num) // num
+        for cut in range(cuts):
+            h = s
+            if cut:
+                h = (s ^ _U(cut * 0x9FB21C651E98DF25 & (1 << 64) - 1)) * _U(0xFF51AFD7ED558CCD)
+                h = np.sort((h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53))
+            mixed = (h ^ (h >> _U(29))) * _U(0xD6E8FEB86659FD93)
+            f = ((h >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
+            start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+            keys, own = np.add.reduceat(mixed, start), f[start]
+            enough = len(own) > d
+            if not enough and cut == cuts - 1:
+                empty = np.setdiff1d(np.arange(m), own, assume_unique=True)
+                keys, own = np.concatenate((keys, np.zeros(len(empty), np.uint64))), np.concatenate((own, empty))
+            place = own.astype(np.uint64) * _U(0xA0761D6478BD642F) + _U(k + 1) * _U(0xE7037ED1A0B428DB) + _U(cut) * _U(0x589965CC75374CC3)
+            keys = (keys ^ place) * _U(0x8EBC6AF09C88C6E3)
+            out.append(keys ^ (keys >> _U(32)))
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -136,11 +166,13 @@ def _sets(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """`key`, `rep` of the buckets with more than one class, from `rep`, `keys`.
+    """`key`, `rep` of the buckets with more than one class, from `rep`, `keys`; `g` classes meet there, in `times` fragments.
 
     Map tasks send the keys of their classes as packed arrays to a number of parts that follows their volume; a part
     sorts its keys and returns those that occur more than once. Within a part 32 bits tell keys apart: a part has about
-    TASK_KEYS, and two keys that are wrongly taken for one only cost a comparison.
+    TASK_KEYS, and two keys that are wrongly taken for one only cost a comparison. Near copies meet in most of their
+    fragments, so buckets of the same classes become one: its key is a digest of these, and two digests that are
+    wrongly equal again only cost comparisons.
     """
     volume = classes.agg(F.sum(F.length("keys"))).first()[0] or 0
     parts = max(48, math.ceil(volume / 8 / TASK_KEYS))
@@ -177,10 +209,23 @@ def _buckets(classes: DataFrame) -> DataFrame:
         k, r = k[order], r[order]
         same = k[1:] == k[:-1]
         many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return pa.table({"key": k[many].astype(np.int64) + (part << 32), "rep": r[many]})
+        k, r = k[many], r[many]
+        if not len(k):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("key", "rep", "g", "times")})
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        g = np.diff(np.append(start, len(k)))
+        with np.errstate(over="ignore"):
+            h = (r.view(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+            members = np.add.reduceat(h ^ (h >> _U(32)), start)
+        members, first, times = np.unique(members, return_index=True, return_counts=True)
+        g = g[first]
+        at = np.repeat(start[first] - np.cumsum(g) + g, g) + np.arange(g.sum())
+        return pa.table({"key": np.repeat(members.view(np.int64), g), "rep": r[at], "g": np.repeat(g, g), "times": np.repeat(times, g)})
 
     packed = classes.select("rep", "keys").mapInArrow(pack, "part bigint, blob binary")
-    return packed.groupBy("part").applyInArrow(meet, "key bigint, rep bigint")
+    met = packed.groupBy("part").applyInArrow(meet, "key bigint, rep bigint, g bigint, times bigint")
+    return met.groupBy("key", "rep").agg(F.max("g").alias("g"), F.sum("times").alias("times"))
 
 
 def _fragment_bits(size):
@@ -455,10 +500,9 @@ def _near_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     about = own.select("rep", "n", "sketch")
 
     # each class against the most central one of each of its buckets, that which meets most others over all its buckets
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
-    central = buckets.join(sizes, "key").groupBy("rep").agg(F.sum(F.col("g") - 1).alias("w"))
-    star = staged(buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("a"), F.count(F.lit(1)).alias("g")), "stars")
-    pairs = buckets.join(star, "key").filter("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    central = buckets.groupBy("rep").agg(F.sum((F.col("g") - 1) * F.col("times")).alias("w"))
+    star = staged(buckets.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("a"), F.count(F.lit(1)).alias("g")), "stars")
+    pairs = buckets.select("key", "rep", "times").join(star.select("key", "a"), "key").filter("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.sum("times").alias("shared"))
     left, right = (about.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     possible = staged(pairs.join(left, "a").join(right, "b").filter(_possible(num, den)).select("a", "b", "na", "nb", "shared"), "pairs")
     # first the one with which it shares most; most other pairs are then of one component
@@ -468,7 +512,7 @@ def _near_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     comps = staged(components(links), "components")
 
     node = comps.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-    mixed = buckets.join(node, "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
+    mixed = buckets.select("key", "rep").join(node, "rep", "left").withColumn("comp", F.coalesce("c", "rep"))
     # a bucket whose classes are of one component needs no further comparison, nor do pairs with its central class
     several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo != hi and g > 2").select("key")
     rest = mixed.join(several, "key", "left_semi").join(star.select("key", "a", F.ceil(F.col("g") / BLOCK).alias("blocks")), "key").filter("rep != a").join(about, "rep").select("key", "blocks", "rep", "comp", "n", "sketch")

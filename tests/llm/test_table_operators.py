@@ -186,6 +186,46 @@ def test_fragments_agree_where_the_bound_says():
                     assert set(jaccard.fragment_keys(a, num, den).tolist()) & set(jaccard.fragment_keys(b, num, den).tolist())
 
 
+def test_unrelated_sets_share_no_fragments():
+    """Empty fragments are no keys of ordinary sets, so buckets don't grow with the number of unrelated texts of a size."""
+    rng = np.random.default_rng(5)
+    for size in (12, 40, 125, 430, 2200):
+        held = Counter()
+        for _ in range(100):
+            with np.errstate(over="ignore"):
+                held.update(set(jaccard.fragment_keys(np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)), 4, 5).tolist()))
+        assert max(held.values()) == 1
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 6])
+def test_sets_in_few_fragments_still_meet(monkeypatch, cuts):
+    """Sets whose hashes crowd into few fragments are cut by other bits, or compare empty fragments; no pair within the threshold is lost."""
+    plain = jaccard.fragments_of
+    monkeypatch.setattr(jaccard, "fragments_of", lambda *x: (*plain(*x)[:2], cuts))
+    rng = np.random.default_rng(cuts)
+    met = 0
+    for _ in range(300):
+        size = int(rng.integers(4, 200))
+        spread = int(rng.integers(1, 64))
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64) >> np.uint64(spread))
+        lost = int(rng.integers(0, len(a) // 5 + 1))
+        b = np.unique(np.concatenate((a[lost:], rng.integers(0, 2**64, int(rng.integers(0, len(a) // 8 + 1)), dtype=np.uint64))))
+        inter = len(np.intersect1d(a, b))
+        if inter and inter * 5 >= (len(a) + len(b) - inter) * 4:
+            met += 1
+            with np.errstate(over="ignore"):
+                assert set(jaccard.fragment_keys(a, 4, 5).tolist()) & set(jaccard.fragment_keys(b, 4, 5).tolist())
+    assert met > 50
+
+
+def test_buckets_of_the_same_classes_are_one(spark):
+    """Near copies that share hundreds of fragments meet in few rows, which count the fragments."""
+    keys = np.random.default_rng(9).integers(0, 2**64, 300, dtype=np.uint64)
+    rows = [(0, keys.tobytes()), (1, keys.tobytes()), (2, keys[:100].tobytes()), (3, (keys + np.uint64(1)).tobytes())]
+    got = jaccard._buckets(spark.createDataFrame(rows, "rep bigint, keys binary")).collect()
+    assert sorted((r.rep, r.g, r.times) for r in got) == [(0, 2, 200), (0, 3, 100), (1, 2, 200), (1, 3, 100), (2, 3, 100)]
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 def test_candidates_lose_none(spark, blocks):
     """Every similar pair of different components in a bucket is within one group, whatever the sizes and blocks; no task lists more pairs than classes."""
