@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.operators import windows
@@ -49,11 +49,18 @@ def mean_in_order(rows: DataFrame, key: str, order: list[str], c: str) -> DataFr
     return last.select(key, F.when(F.col("at.n") > 0, F.col("at.sum") / F.col("at.n")).alias("mean"))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Doubles rounded as the SQL does it: scaled, the whole number next to that (halves away from zero), scaled back. Spark's `round` goes
+    by the decimal digits that a double is printed with, and so takes some ties the other way."""
+    whole = F.round(c * F.lit(10.0**places))
+    return F.when(F.abs(whole) < F.lit(float("inf")), whole / F.lit(10.0**places)).otherwise(c)
+
+
 def clip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`clip`, `temporal_max`, `spatial` (null for some): two independent kinds of evidence for each clip."""
     temporal = window_scores(spark, sf_dir).groupBy("clip").agg(F.max("score").alias("temporal_max"))
     bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("clip"), "ts", "event_id", "value")
-    bought = mean_in_order(bought, "clip", ["ts", "event_id"], "value").select("clip", F.round(F.col("mean") / 100, 6).alias("s"))
+    bought = mean_in_order(bought, "clip", ["ts", "event_id"], "value").select("clip", rounded(F.col("mean") / 100, 6).alias("s"))
     return temporal.join(bought, "clip", "left").select("clip", "temporal_max", F.when(F.col("clip") % 11 != 0, F.col("s")).alias("spatial"))
 
 
